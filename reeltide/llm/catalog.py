@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.llm import mixing, urlfilter
+from reeltide.llm import fingerprints, langid, mixing, urlfilter
 
-MODULES = (mixing, urlfilter)
+MODULES = (mixing, fingerprints, urlfilter, langid)
 
 
 def queries() -> dict:
