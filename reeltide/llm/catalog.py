@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.llm import fingerprints, langid, mixing, urlfilter
+from reeltide.llm import fingerprints, htmltext, langid, mixing, urlfilter
 
-MODULES = (mixing, fingerprints, urlfilter, langid)
+MODULES = (mixing, htmltext, fingerprints, urlfilter, langid)
 
 
 def queries() -> dict:
