@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.llm import decontaminate, fingerprints, htmltext, langid, mixing, urlfilter
+from reeltide.llm import decontaminate, fingerprints, htmltext, langid, mixing, quality, urlfilter
 
-MODULES = (mixing, htmltext, fingerprints, urlfilter, decontaminate, langid)
+MODULES = (mixing, htmltext, fingerprints, quality, urlfilter, decontaminate, langid)
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltide.llm.common import durable, look_up, read
+from reeltide.llm.common import durable, look_up, read, strength
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -68,16 +68,6 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
 
 
-def strength(groups: DataFrame, rate: Column) -> float:
-    """The prior strength of groups (n, bad) about `rate`, by moments: 1 / rho - 1 with the intraclass correlation rho kept in 0.02 to 0.9."""
-    sums = groups.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("g"), F.sum(F.col("n") * (F.col("bad") / F.col("n") - rate) ** 2).alias("v"), F.sum(F.col("n") * rate * (1 - rate)).alias("u")).first()
-    if not sums["n"] or not sums["u"] or sums["n"] == sums["g"]:
-        return 2.0
-    share = sums["g"] / sums["n"]
-    rho = (sums["v"] / sums["u"] - share) / (1 - share)
-    return 1 / min(0.9, max(0.02, rho)) - 1
-
-
 def reputation(hosts: DataFrame, z: float = 1.28) -> DataFrame:
     """(host, n, bad) -> host, rate, lower: posterior mean and lower bound of the share of bad pages.
 
