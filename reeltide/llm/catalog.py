@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.llm import decontaminate, fingerprints, htmltext, langid, mixing, neardup, quality, secrets, urlfilter
+from reeltide.llm import decontaminate, fingerprints, htmltext, langid, mixing, neardup, quality, secrets, substrings, urlfilter
 
-MODULES = (mixing, htmltext, fingerprints, quality, secrets, urlfilter, decontaminate, langid, neardup)
+MODULES = (mixing, htmltext, fingerprints, quality, secrets, urlfilter, decontaminate, langid, neardup, substrings)
 
 
 def queries() -> dict:

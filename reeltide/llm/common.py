@@ -16,15 +16,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, without lineage.
-
-    Where the session names none and no directory was set (tests on one machine), a temporary one is set.
-    """
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint directory. Where spark.checkpoint.dir is unset (tests on one machine), a temporary one is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reeltide-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, without lineage."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
