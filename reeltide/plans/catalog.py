@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from reeltide.plans import scores
+from reeltide.plans import lookups, scores, sequences
+
+MODULES = (scores, lookups, sequences)
 
 
 def queries() -> dict:
     out: dict = {}
-    for module in (scores,):
+    for module in MODULES:
         out.update(module.QUERIES)
     return out
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict = {}
-    for module in (scores,):
+    for module in MODULES:
         out.update(module.ORACLES)
     return out
