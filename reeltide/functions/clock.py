@@ -13,7 +13,7 @@ def micros(name: str) -> Column:
 
 def ticks_to_ns(ticks: Column, rate: int) -> Column:
     """Ticks of a clock of `rate` a second as whole nanoseconds, truncated."""
-    return (ticks * F.lit(1_000_000_000) - F.pmod(ticks * F.lit(1_000_000_000), F.lit(rate))) / rate
+    return F.call_function("div", ticks * F.lit(1_000_000_000), F.lit(rate))
 
 
 def clock_text(ms: Column) -> Column:

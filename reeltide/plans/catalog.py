@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.plans import lookups, scores, sequences
+from reeltide.plans import choices, figures, lookups, scores, sequences
 
-MODULES = (scores, lookups, sequences)
+MODULES = (scores, lookups, sequences, choices, figures)
 
 
 def queries() -> dict:
