@@ -45,7 +45,7 @@ def without_overrides(event: Column) -> Column:
 
 def parse_list(text: Column) -> Column:
     """The items of a comma list, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def with_details(path: Column, tags: Column) -> Column:

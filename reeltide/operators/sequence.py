@@ -43,10 +43,10 @@ def display_order(df: DataFrame, keys: list[str], order: list, reset: Column, po
 def clipped(df: DataFrame, keys: list[str], order: list, start: str, stop: str) -> DataFrame:
     """Cues laid end to end: each starts no earlier than all before it have ended, an empty one goes, and gaps get rows of their own (`gap` true).
 
-    A cue that ends by then is dropped, so the running end is the running maximum of the ends.
+    A cue that ends by then is dropped, so the running end is the running maximum of the ends of cues that have a length.
     """
     w = ordered(keys, order)
-    d = df.withColumn("_end", F.coalesce(F.max(stop).over(w.rowsBetween(*BEFORE)), F.lit(0)))
+    d = df.where(F.col(stop) > F.col(start)).withColumn("_end", F.coalesce(F.max(stop).over(w.rowsBetween(*BEFORE)), F.lit(0)))
     d = d.withColumn("_start", F.greatest(F.col(start), F.col("_end"))).where(F.col(stop) > F.col("_start"))
     cue = F.struct(F.col("_start").alias("begin"), F.col(stop).alias("finish"), F.lit(False).alias("gap"))
     gap = F.struct(F.col("_end").alias("begin"), F.col("_start").alias("finish"), F.lit(True).alias("gap"))

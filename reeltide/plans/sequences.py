@@ -150,7 +150,7 @@ ORACLES = {
         FROM f JOIN n ON n.user_id = f.user_id AND n.rn = f.rn + 1,
              LATERAL (SELECT n.t - begun >= 172800000000 OR n.t - begun <= -3600000000 OR (n.event_type = 'purchase' AND n.t - begun >= 43200000000) AS c))
         SELECT user_id, event_id, cluster FROM f""",
-    "overlap_clip": f"""WITH {_E}, c AS (SELECT user_id, event_id, t, t + floor(value)::BIGINT * 240000000 AS stop_t FROM e),
+    "overlap_clip": f"""WITH {_E}, c AS (SELECT user_id, event_id, t, t + floor(value)::BIGINT * 240000000 AS stop_t FROM e WHERE floor(value) > 0),
         x AS (SELECT *, coalesce(max(stop_t) OVER {_PRE}, 0) AS fin FROM c), y AS (SELECT *, greatest(t, fin) AS begun FROM x WHERE stop_t > greatest(t, fin))
         SELECT user_id, event_id, begun AS begin, stop_t AS finish, false AS gap FROM y UNION ALL SELECT user_id, event_id, fin, begun, true FROM y WHERE begun > fin""",
     "cue_end": """SELECT conv_id, begin, finish FROM (SELECT conv_id, turn * 1000 AS begin, coalesce(lead(turn * 1000) OVER (PARTITION BY conv_id ORDER BY turn), turn * 1000 + 5000) AS finish, text FROM conversations)
