@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +31,23 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def durable_in_loop(df: DataFrame) -> DataFrame:
+    """durable(), for tables that are made from one another round after round.
+
+    A checkpointed table keeps its plan's estimated size, and a join's estimate is the product of its sides', so in a loop of joins the number's digits
+    double in every round until they fill the driver's memory. Made anew from its rows, the table has no estimate.
+    """
+    spark = df.sparkSession
+    kept = durable(df)
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Asks for what no plan refers to any more, such as shuffles behind a durable cut, to be cleaned from the executors' disks now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def look_up(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     """Left join to a table with one row a key: broadcast up to BROADCAST_ROWS rows, else shuffled, where AQE splits hot keys."""
     held = small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
@@ -51,8 +69,8 @@ def root_buckets(n: int) -> int:
     return max(1, int(n**0.5))
 
 
-def neighbours(df: DataFrame, keys: list[str], order: list[str], carry: list[str], salts: int, salt_of: Column) -> DataFrame:
-    """Pairs of rows next to each other within `keys`: every group becomes connected, and a group of n rows gives n - 1 pairs.
+def neighbours(df: DataFrame, keys: list[str], order: list[str], carry: list[str], salts: int, salt_of: Column, reach: int = 1) -> DataFrame:
+    """Pairs of rows at most `reach` places apart within `keys`: every group becomes connected, and a row is in at most 4 * reach pairs.
 
     A group is chained in two levels, so that a hot key never meets in one task: first within (keys, salt),
     then the first rows of its salts. Rows come as x_<column> and y_<column> for `carry`, ordered by `order`.
@@ -62,11 +80,13 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], carry: list[str
 
     def chain(rows: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by).orderBy(*order)
-        return rows.withColumn("_x", F.lag(F.struct(*carry)).over(w))
+        lags = F.array(*[F.lag(F.struct(*carry), k).over(w) for k in range(1, reach + 1)])
+        return rows.withColumn("_x", F.filter(lags, lambda x: x.isNotNull()))
 
     def pairs(rows: DataFrame) -> DataFrame:
-        return rows.where("_x IS NOT NULL").select(*keys, *[F.col(f"_x.{c}").alias(f"x_{c}") for c in carry], *[F.col(c).alias(f"y_{c}") for c in carry])
+        rows = rows.withColumn("_x", F.explode("_x"))
+        return rows.select(*keys, *[F.col(f"_x.{c}").alias(f"x_{c}") for c in carry], *[F.col(c).alias(f"y_{c}") for c in carry])
 
     first = chain(base, [*keys, "_salt"])
-    heads = chain(first.where("_x IS NULL").drop("_x"), keys)
+    heads = chain(first.where("size(_x) = 0").drop("_x"), keys)
     return pairs(first).unionByName(pairs(heads))
