@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from reeltide.llm.common import read
 from reeltide.llm.kernels import codepoints, multipliers, shingles, words
 
-SHINGLE, HASHES, STEP, ITEMS, CHUNK = 5, 24, 8, 20_000, 1 << 15
+SHINGLE, HASHES, STEP, ITEMS, CHUNK, TINY = 5, 24, 8, 20_000, 1 << 15, 4
 SIMILARITY = 0.8
 
 #: (item_id, text) rows of a block of items
@@ -47,8 +47,12 @@ class Sketches:
         self.factors = multipliers(HASHES, 8)
         self.values, self.owners, self.bits = {}, {}, {}
         for part, members in self.parts.items():
-            sig = np.concatenate([(self.sets[i][None, :] * self.factors[:, None]).min(1) for i in members])
-            own = np.repeat(np.array(members), HASHES)
+            if part[1] <= TINY:  # of so few shingles a window would hold mostly others; each of them is looked up
+                sig = np.concatenate([self.sets[i] for i in members])
+                own = np.repeat(np.array(members), [self.sets[i].size for i in members])
+            else:
+                sig = np.concatenate([(self.sets[i][None, :] * self.factors[:, None]).min(1) for i in members])
+                own = np.repeat(np.array(members), HASHES)
             order = np.argsort(sig, kind="stable")
             self.values[part], self.owners[part] = sig[order], own[order]
             bits = np.zeros(1 << 20, bool)
@@ -58,6 +62,10 @@ class Sketches:
     def candidates(self, s: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
         """(item, begin, end): an item and a range of s whose window shares a min-hash with it."""
         sizes = sorted(size for kk, size in self.parts if kk == k)
+        for size in [x for x in sizes if x <= TINY]:
+            for item, at in self._owners((k, size), s[None, :]):
+                yield item, at, at + 1
+        sizes = [x for x in sizes if x > TINY]
         if not sizes or not s.size:
             return
         reach = (-(-(sizes[-1] - 1) // STEP) + 1) * STEP
@@ -75,18 +83,21 @@ class Sketches:
                 while 2 * held <= m:
                     low, held = np.minimum(low[:, :-held], low[:, held:]), 2 * held
                 now = np.minimum(low[:, : low.shape[1] - (m - held)], low[:, m - held :]) if m > held else low
-                hit = self.bits[k, size][(now & np.uint64((1 << 20) - 1)).astype(np.int64)]
-                rows, cols = np.nonzero(hit)
-                if not rows.size:
-                    continue
-                values, where = np.unique(now[rows, cols], return_inverse=True)
-                a = np.searchsorted(self.values[k, size], values, "left")
-                b = np.searchsorted(self.values[k, size], values, "right")
-                for u in np.flatnonzero(b > a):
-                    seen = np.unique(cols[where == u])
-                    for item in self.owners[k, size][a[u] : b[u]]:
-                        for c in seen:
-                            yield int(item), at + int(c) * STEP, at + (int(c) + m) * STEP
+                for item, c in self._owners((k, size), now):
+                    yield item, at + c * STEP, at + (c + m) * STEP
+
+    def _owners(self, part: tuple[int, int], found: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, column) of the values (hashes by places) that belong to items of the part."""
+        rows, cols = np.nonzero(self.bits[part][(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        if not rows.size:
+            return
+        values, where = np.unique(found[rows, cols], return_inverse=True)
+        a, b = (np.searchsorted(self.values[part], values, side) for side in ("left", "right"))
+        for u in np.flatnonzero(b > a):
+            seen = np.unique(cols[where == u]).tolist()
+            for item in self.owners[part][a[u] : b[u]].tolist():
+                for c in seen:
+                    yield item, c
 
 
 def contained(texts: list[str], sketches: Sketches, similarity: float = SIMILARITY) -> list[tuple[int, int, float]]:
