@@ -11,8 +11,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,6 +88,9 @@ def made_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 
 def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> str:
     """A SQL expression over an array `x.f` of features: the share of trees that vote for a secret. findings: secret, before, after, path, label."""
+    from pyspark.ml.classification import RandomForestClassifier  # only training needs it, and it is large
+    from pyspark.ml.feature import VectorAssembler
+
     rows = findings.where("secret <> '' AND label IS NOT NULL").selectExpr("cast(label as double) AS label", f"{_vector('secret', 'before', 'after', 'path')} AS f")
     flat = rows.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)])
     ready = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(flat).select("label", "features")
