@@ -26,9 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, without lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """`df`, computed once and kept in the shared folder of spark.checkpoint.dir, without lineage; the shuffles that made it are removed at once."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # a plan reads the setting when it is made
+    finally:
+        spark.conf.set(name, before)
 
 
 def durable_in_loop(df: DataFrame) -> DataFrame:
