@@ -498,6 +498,37 @@ def test_repeated_passages_are_covered(spark):
     assert 500 in spans and not [i for i in spans if i < 500 and i % 3 == 0]
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_passages_are_found_behind_partial_holders(spark, parts):
+    rng, vocab = random.Random(21), vocabulary(21)
+    passage = [rng.choice(vocab) for _ in range(60)]
+    excerpts = [" ".join(passage[i : i + 30]) for i in range(0, 31, 2)]
+    texts = {}
+    for k in range(3):  # partial holders, then a whole one
+        for i, x in enumerate(excerpts):
+            texts[100 * k + i] = f"{prose(rng, vocab, 40)} {x} {prose(rng, vocab, 40)}"
+        texts[100 * k + 90] = f"{prose(rng, vocab, 40)} {' '.join(passage)} {prose(rng, vocab, 40)}"
+    rows = [(i, t, "en", "a", 0) for i, t in texts.items()]
+    spans = {}
+    for r in substrings.repeats(spark.createDataFrame(rows, DOCS).repartition(parts)).collect():
+        spans.setdefault(r.doc_id, []).append((r.begin, r.end))
+    assert set(spans) == {190, 290}
+    for i in spans:
+        at = texts[i].index(" ".join(passage))
+        assert any(a <= at and b >= at + len(" ".join(passage)) for a, b in spans[i])
+
+
+def test_stretches_are_shared_out_among_windows():
+    rng = np.random.default_rng(5)
+    for n in (46, 47, 200, 3000):
+        s = rng.integers(0, 50, n).astype(np.uint64)
+        c, left, right = substrings.compact_windows(s, 0)
+        first, last = np.maximum(left, c - substrings.LENGTH + 1), np.minimum(c, right - substrings.LENGTH + 1)
+        assert first[0] == 0 and last[-1] == n - substrings.LENGTH and (first[1:] == last[:-1] + 1).all()
+        h = substrings.stretches(s)
+        assert h.size == n - substrings.LENGTH + 1 and h[-1] == substrings.stretches(s[-substrings.LENGTH :])[0]
+
+
 def test_substrings_odd_rows(odd, empty):
     rows = substrings.repeats(odd).collect()
     assert all(r.doc_id == 7 == r.source_id for r in rows)
