@@ -7,7 +7,9 @@ components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
 text, the one that most sketches agree on), never all pairs. Texts of a bucket that are still in different classes are then compared along chains,
-ordered by another sketch each time, until a round finds no new link by shingles. Texts move once to be turned into word numbers, of candidates only afterwards.
+ordered by another sketch each time, until a round finds no new link by shingles. What is left, every pair that shares a sketch and is still in different
+classes, is compared at last: buckets are cut into blocks, and of a pair of blocks those pairs go on whose counts of words and shingles by bins allow a
+link, which no linked pair fails. Texts move once to be turned into word numbers, of candidates only afterwards.
 Hot texts of stars are joined as one row a key against many, which AQE splits.
 """
 
@@ -32,6 +34,8 @@ SHINGLE, SKETCHES, ORDER, SIMILARITY = 5, 16, 2, 0.8
 ALIGNED = 0.9
 #: Texts of more words are split at shared unique shingles before they are aligned.
 DIRECT = 4096
+#: Bins of words and of distinct shingles, counts that stand for any number, and texts of a block.
+WORD_BINS, SHINGLE_BINS, FULL, BLOCK = 64, 128, 65535, 64
 
 _FACTORS = multipliers(SKETCHES, 5)
 
@@ -65,10 +69,78 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tids, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tid", "sketches"])
 
 
+def form(a: np.ndarray) -> bytes:
+    """Words and distinct shingles of a text, as word numbers, and their counts by bins."""
+    s = np.unique(shingles(a.astype(np.uint64), SHINGLE))
+    counts = np.concatenate([np.bincount((a >> np.uint32(26)).astype(np.int64), minlength=WORD_BINS), np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SHINGLE_BINS)])
+    return np.array([a.size, s.size], "<u4").tobytes() + np.minimum(counts, FULL).astype("<u2").tobytes()
+
+
+def possible(forms: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which pairs of forms (rows of bytes) may be linked: no pair that alike() links is left out."""
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.ascontiguousarray(x[:, 8:]).view("<u2").astype(np.float32)
+        counts[counts >= FULL] = np.inf
+        return np.ascontiguousarray(x[:, :8]).view("<u4").astype(np.float64), counts
+
+    (sizes, counts), (sizes_, counts_) = parts(forms), parts(other)
+    out = np.zeros((len(sizes), len(sizes_)), bool)
+    for i in range(len(sizes)):
+        both = np.minimum(counts[i], counts_)
+        same, common = both[:, :WORD_BINS].sum(axis=1, dtype=np.float64), np.minimum(both[:, WORD_BINS:].sum(axis=1, dtype=np.float64), np.minimum(sizes[i, 1], sizes_[:, 1]))
+        same = np.minimum(same, np.minimum(sizes[i, 0], sizes_[:, 0]))
+        out[i] = (common >= SIMILARITY * (sizes[i, 1] + sizes_[:, 1] - common)) | (same >= ALIGNED * np.maximum(sizes[i, 0], sizes_[:, 0]))
+    return out
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        told = [(words(codepoints(x.as_py() or ""))[0] >> np.uint64(32)).astype("<u4").tobytes() for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array(told, pa.binary())], ["tid", "words"])
+        told = [(words(codepoints(x.as_py() or ""))[0] >> np.uint64(32)).astype("<u4") for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([x.tobytes() for x in told], pa.binary()), pa.array([form(x) for x in told], pa.binary())], ["tid", "words", "form"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) of pairs of blocks: what is of different classes and may be linked."""
+    for batch in batches:
+        found: set[tuple[bytes, bytes]] = set()
+        for left, right in zip(batch.column("xs"), batch.column("ys"), strict=True):
+            (tx, rx, fx), (ty, ry, fy) = (b.values.flatten() for b in (left, right))
+            forms = [np.frombuffer(b"".join(f.to_pylist()), np.uint8).reshape(len(f), -1) for f in (fx, fy)]
+            ok = possible(*forms) & (rx.to_numpy()[:, None] != ry.to_numpy()[None, :])
+            tx, ty = tx.to_pylist(), ty.to_pylist()
+            found.update((min(tx[i], ty[j]), max(tx[i], ty[j])) for i, j in zip(*np.nonzero(ok), strict=True))
+            if len(found) > 50_000:
+                yield _pairs(found)
+                found = set()
+        if found:
+            yield _pairs(found)
+
+
+def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    x, y = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
+
+
+def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(x, y) of all texts that share a sketch, are of different classes and may be linked.
+
+    Large classes of a bucket have blocks of their own, which do not meet each other.
+    """
+    rows = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("sketch", "tid", F.xxhash64(F.coalesce("root", "tid")).alias("root"))
+    sizes = rows.groupBy("sketch", "root").agg(F.count(F.lit(1)).alias("n"))
+    small = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("small")
+    several = sizes.groupBy("sketch").agg(F.count(F.lit(1)).alias("roots"), small).where("roots > 1").select("sketch", "small")
+    sizes = sizes.join(several, "sketch")
+    large = F.when(F.col("n") > BLOCK, F.col("root"))
+    piece = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("tid"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / BLOCK))))
+    dealt = rows.join(sizes, ["sketch", "root"]).select("sketch", "tid", "root", large.alias("large"), piece.alias("piece")).join(numbers.select("tid", "form"), "tid")
+    blocks = durable_in_loop(dealt.groupBy("sketch", "large", "piece").agg(F.collect_list(F.struct("tid", "root", "form")).alias("texts")))
+    named = F.struct(F.coalesce("large", F.lit(0)), F.col("large").isNull(), "piece")
+    x = blocks.select("sketch", named.alias("i"), F.col("large").alias("lx"), F.col("texts").alias("xs"))
+    y = blocks.select("sketch", named.alias("j"), F.col("large").alias("ly"), F.col("texts").alias("ys"))
+    meet = x.join(y, "sketch").where("i <= j AND NOT coalesce(lx = ly, false)")
+    return meet.select("xs", "ys").mapInArrow(_met, "x binary, y binary").dropDuplicates(["x", "y"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -196,7 +268,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = F.lit(-(2**63))
     needed = shared.select("tid").distinct().join(texts.select("tid", F.coalesce(F.col("id").cast("long"), least).alias("own")), "tid")
     own = rows.select(text_id().alias("tid"), F.coalesce(F.col("doc_id").cast("long"), least).alias("own"), "text")
-    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary").dropDuplicates(["tid"]))
+    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary, form binary").dropDuplicates(["tid"]))
 
     release(docs.sparkSession)  # the shuffled texts
     tested = _verify(pairs, numbers)
@@ -222,6 +294,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.where("strong").isEmpty():
             break
 
+    done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = _verify(durable_in_loop(_remaining(shared, labels, numbers).join(done, ["x", "y"], "left_anti")), numbers).where("ok")
+    release(docs.sparkSession)
+    if not more.isEmpty():
+        a, b = (labels.select(F.col("node").alias(n), F.col("root").alias(r)) for n, r in (("x", "a"), ("y", "b")))
+        ends = more.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
+        labels = follow(labels, components(ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))))
+
     rooted = texts.select("tid", "id", "copies").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     whole = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "tid")).alias("keeper"))
     whole = durable(whole.select("root", "class_id", "class_size", F.col("keeper.tid").alias("keeper")))

@@ -328,6 +328,31 @@ def test_large_groups_of_copies(spark):
     assert neardup.deduplicated(df).count() == 102
 
 
+def test_pairs_of_a_template_are_all_compared(spark):
+    rng, vocab = random.Random(31), vocabulary(31)
+    shared, rows = prose(rng, vocab, 90), []
+    for _ in range(150):  # alike to each other by about 0.5, to one by more than 0.8
+        own = prose(rng, vocab, 30).split()
+        rows += [f"{shared} {' '.join(own)}", f"{shared} {' '.join([*own[:24], *prose(rng, vocab, 6).split()])}"]
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(order[i], t, "en", "a", 0) for i, t in enumerate(rows)], DOCS)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    tok = [(words(codepoints(t))[0] >> np.uint64(32)).astype("u4") for t in rows]
+    assert all(neardup.alike(tok[i], tok[i + 1]) == 2 for i in range(0, len(rows), 2))
+    together = [got[order[i]] == got[order[i + 1]] for i in range(0, len(rows), 2)]
+    assert all(together), sum(together)
+
+
+def test_forms_leave_no_linked_pair_out():
+    rng, vocab = random.Random(32), vocabulary(32, 300)
+    base = [prose(rng, vocab, rng.randrange(1, 200)) for _ in range(12)]
+    tok = [(words(codepoints(edited(rng, vocab, t, s)))[0] >> np.uint64(32)).astype("u4") for t in base for s in (0, 0.02, 0.05, 0.1, 0.3)]
+    forms = np.stack([np.frombuffer(neardup.form(t), np.uint8) for t in tok])
+    may = neardup.possible(forms, forms)
+    assert all(may[i, j] or not neardup.alike(a, b) for i, a in enumerate(tok) for j, b in enumerate(tok)) and not may.all()
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     got = neardup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
