@@ -3,7 +3,7 @@
 A page is cut into blocks at block-level tags; each has its length, the share of it inside links, the share of its words that are stop
 words, and the containers around it. First pass: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments, and
 blocks that are mostly links, are out; blocks of an article and long blocks with enough stop words are in; the rest are undecided:
-nearly good, short, or poor. Second pass: undecided ones take the label of their nearest decided neighbours
+nearly good, short, or poor. On a page with next to no stop words, one in a language that is not listed, length decides in place of stop words. Second pass: undecided ones take the label of their nearest decided neighbours
 (blocks that their container puts out are no neighbours).
 
 Scale: one map over the pages, no shuffle; each page is scanned once, in time linear in its length.
@@ -42,6 +42,8 @@ STOP_WORDS = frozenset(
     "al como con de del el en es esta la las lo los más no o para pero por que se son su sus un una y ya".split()
 )
 LONG, SHORT, MANY_LINKS, FEW_STOPS, MANY_STOPS = 140, 70, 0.3, 0.12, 0.3
+#: Below this share of stop words over the whole page, its language is taken as one that is not listed.
+NO_STOPS = 0.06
 RIGHTS = ("©", "copyright", "all rights reserved")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
@@ -162,11 +164,20 @@ def blocks(page: str) -> list[tuple[str, str, float, bool, bool]]:
     return told
 
 
+def stop_share(text: str) -> float:
+    stops = [w.strip(".,;:!?()\"'").lower() in STOP_WORDS for w in text.split()]
+    return sum(stops) / len(stops)
+
+
 def labels(found: list[tuple[str, str, float, bool, bool]]) -> list[bool]:
     """Which of the blocks belong to the main text."""
     article = any(inside and not out for _, _, _, inside, out in found)
+    judged = [not out and not (article and inside) and linked <= MANY_LINKS for _, _, linked, inside, out in found]
+    shares = [stop_share(b[0]) if j else 0.0 for b, j in zip(found, judged, strict=True)]
+    size = sum(len(b[0]) for b, j in zip(found, judged, strict=True) if j)
+    foreign = sum(len(b[0]) * s for b, s in zip(found, shares, strict=True)) < NO_STOPS * size  # by length, as not all scripts part words
     first = []
-    for text, tag, linked, inside, out in found:
+    for (text, tag, linked, inside, out), density in zip(found, shares, strict=True):
         if out:
             first.append("gone")
         elif article and inside:
@@ -176,13 +187,11 @@ def labels(found: list[tuple[str, str, float, bool, bool]]) -> list[bool]:
         elif linked > MANY_LINKS:
             first.append("out")
         else:
-            stops = [w.strip(".,;:!?()\"'").lower() in STOP_WORDS for w in text.split()]
-            density = sum(stops) / len(stops)
             if len(text) < SHORT and tag != "p":
                 first.append("short")
-            elif density >= MANY_STOPS and len(text) >= LONG:
+            elif (foreign or density >= MANY_STOPS) and len(text) >= LONG:
                 first.append("in")
-            elif density >= FEW_STOPS or len(text) < SHORT:
+            elif foreign or density >= FEW_STOPS or len(text) < SHORT:
                 first.append("near")
             else:
                 first.append("poor")
@@ -204,7 +213,7 @@ def labels(found: list[tuple[str, str, float, bool, bool]]) -> list[bool]:
             continue
         (a, da), (b, db) = before[i], after[i]
         if a is None and b is None:
-            kept.append(what != "poor" or n == 1)  # nothing decided on the page
+            kept.append(True)  # nothing decided on the page
         elif what == "near":
             kept.append("in" in (a, b) or a is None or b is None)
         elif what == "short":

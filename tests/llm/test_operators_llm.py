@@ -171,6 +171,22 @@ def test_undecided_blocks_follow_their_neighbours():
     assert htmltext.main_text(page) == f"{good}\nA short one\n{good}"
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Вчера вечером жители небольшого города собрались на главной площади, чтобы обсудить планы строительства нового моста через реку, который соединит оба берега. ",
+        "Wczoraj wieczorem mieszkańcy niewielkiego miasta zebrali się na rynku, żeby omówić plany budowy nowego mostu, który połączy oba brzegi szerokiej rzeki przed zimą. ",
+        "昨天晚上小城的居民聚集在中心广场上讨论在河上修建新桥的计划这座桥将把两岸连接起来许多人表示支持也有人担心费用太高" * 3,
+    ],
+)
+def test_pages_in_other_languages_keep_their_article(text):
+    text = text.strip()
+    menu = "<div><a href=x>One</a> <a href=y>Two</a></div>"
+    body = f"<div><h1>Title</h1><div>{text}</div><div>{text}</div></div>"
+    assert htmltext.main_text(f"<body>{body}</body>").split("\n")[-2:] == [text, text]
+    assert htmltext.main_text(f"<body>{menu}{body}{menu}</body>").split("\n")[-2:] == [text, text]
+
+
 def test_long_page_is_linear():
     assert len(htmltext.main_text("<article>" + "<p>some words here</p>" * 30_000 + "</article>").split("\n")) == 30_000
     assert htmltext.main_text("<" * 50_000).startswith("<")
