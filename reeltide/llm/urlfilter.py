@@ -68,19 +68,20 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
 
 
-def reputation(hosts: DataFrame, z: float = 1.28) -> DataFrame:
-    """(host, n, bad) -> host, rate, lower: posterior mean and lower bound of the share of bad pages.
+def reputation(hosts: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame:
+    """(host, n, bad), and the hosts that are asked for -> host, rate, lower: posterior mean and lower bound of the share of bad pages.
 
     The suffix is shrunk towards the whole, the domain towards its suffix, the host towards its domain. The bound is the mean less z
-    posterior standard deviations. Hosts without outcomes are not listed: their pages have the posterior of nothing known and are not blocked.
+    posterior standard deviations. Hosts without outcomes have the posterior of their domain, of their suffix if that has none either, or of the whole.
     """
+    hosts = asked.select("host").distinct().join(hosts, "host", "left").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")])
     hosts = durable(hosts.withColumn("domain", registered(F.col("host"))).withColumn("suffix", F.substring_index("domain", ".", -1)))
     sums = lambda by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = ((whole["bad"] or 0) + 1) / ((whole["n"] or 0) + 2)
 
     def shrunk(groups: DataFrame, towards: Column, out: str) -> DataFrame:
-        k = strength(groups, towards)
+        k = strength(groups.where("n > 0"), towards)
         return groups.withColumn(out, (F.col("bad") + k * towards) / (F.col("n") + k)).withColumn("weight", F.col("n") + F.lit(k))
 
     suffixes = shrunk(sums(["suffix"]), F.lit(base), "suffix_rate").select("suffix", "suffix_rate")
@@ -93,12 +94,13 @@ def reputation(hosts: DataFrame, z: float = 1.28) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.4) -> DataFrame:
     """Every page's url judged: page_id, host, path, rule, verdict, rate, lower.
 
-    verdict is that of the longest fitting rule, else block where the host's lower bound is above `limit`, else allow. A null url, one without
+    verdict is that of the longest fitting rule, else block where the lower bound of the host, whether it has outcomes or not, is above `limit`, else allow. A null url, one without
     :// and an empty host have empty parts, no rule and allow. Repeated rows are judged each; an empty table of labels leaves the rules and
     the host parts. Other columns of pages are not read.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputation(outcomes(parts.where("host <> ''"), labels.select("doc_id", "quality", "toxic")))
+    named = parts.where("host <> ''")
+    known = reputation(outcomes(named, labels.select("doc_id", "quality", "toxic")), named)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
     told = look_up(parts, known, ["host"]).withColumns({"rule": rule, "verdict": verdict})
     return told.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("lower") > limit, "block").otherwise("allow")).alias("verdict"), "rate", "lower")

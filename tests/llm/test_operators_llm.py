@@ -432,6 +432,16 @@ def test_host_reputation_is_shrunk(spark):
     assert got["once.net"].lower < got["bad.net"].lower
 
 
+def test_new_host_has_the_posterior_of_its_domain(spark):
+    pages = [(i, f"http://h{i % 10}.evil.net/{i}") for i in range(200)] + [(1000 + i, f"http://h{i % 40}.d{i % 20}.net/{1000 + i}") for i in range(800)]
+    labels = [(i, 0, 0) for i in range(200)] + [(1000 + i, 1, 0) for i in range(800)]
+    pages += [(5000, "http://new.evil.net/about"), (5001, "http://new.d3.net/about"), (5002, "http://unheard.xyz/about"), (5003, "http:///about")]
+    df, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.page_id: r for r in urlfilter.judge(df, lab).where("page_id >= 5000").collect()}
+    assert [got[i].verdict for i in (5000, 5001, 5002, 5003)] == ["block", "allow", "allow", "allow"]
+    assert got[5000].rate > 0.9 and got[5003].rate is None
+
+
 # --- 8 decontamination
 
 
