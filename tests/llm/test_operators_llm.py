@@ -346,10 +346,10 @@ def test_large_groups_of_copies(spark):
 
 def test_pairs_of_a_template_are_all_compared(spark):
     rng, vocab = random.Random(31), vocabulary(31)
-    shared, rows = prose(rng, vocab, 90), []
-    for _ in range(150):  # alike to each other by about 0.5, to one by more than 0.8
-        own = prose(rng, vocab, 30).split()
-        rows += [f"{shared} {' '.join(own)}", f"{shared} {' '.join([*own[:24], *prose(rng, vocab, 6).split()])}"]
+    shared, rows = prose(rng, vocab, 200), []
+    for _ in range(200):  # two are alike by more than 0.8, all others by about 0.7
+        own = prose(rng, vocab, 40).split()
+        rows += [f"{shared} {' '.join(own)}", f"{shared} {' '.join([*own[:16], *prose(rng, vocab, 24).split()])}"]
     order = list(range(len(rows)))
     rng.shuffle(order)
     df = spark.createDataFrame([(order[i], t, "en", "a", 0) for i, t in enumerate(rows)], DOCS)
