@@ -46,31 +46,54 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_POWERS = np.ones(1, np.uint64)
+_ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Code points whose running sums are held at once; longer runs are added up in pieces.
+PIECE = 1 << 18
+
+
+@functools.cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd constant and of its inverse modulo 2**64, PIECE of each and one more."""
+    with np.errstate(over="ignore"):
+        return tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(PIECE, x))]) for x in (_ODD, _ODD_INVERSE))
 
 
 def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd constant modulo 2**64."""
-    global _POWERS
-    if _POWERS.size < n:
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(max(n, 256), _ODD))])
-    return _POWERS[:n]
+    """The first n powers, of at most PIECE."""
+    return _power_tables()[0][:n]
+
+
+def _run_sums(f: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each run the sum of f[begin + i] * _ODD**i modulo 2**64, from differences of running sums."""
+    up, down = _power_tables()
+    out = np.zeros(begin.size, np.uint64)
+    total = np.zeros(min(PIECE, f.size) + 1, np.uint64)
+    for at in range(0, f.size, PIECE):
+        piece = f[at : at + PIECE].astype(np.uint64)
+        piece *= up[: piece.size]
+        np.cumsum(piece, out=total[1 : piece.size + 1])
+        i, j = np.searchsorted(end, at, "right"), np.searchsorted(begin, at + piece.size, "left")
+        if at == 0 and piece.size == f.size:
+            return (total[end] - total[begin]) * down[begin]
+        b, e = np.maximum(begin[i:j] - at, 0), np.minimum(end[i:j] - at, piece.size)
+        own = (total[e] - total[b]) * down[b]
+        late = np.flatnonzero(begin[i:j] < at)  # at most one run, which goes on from the piece before
+        for k in late.tolist():
+            own[k : k + 1] *= np.uint64(pow(int(_ODD), int(at - begin[i + k]), 1 << 64))
+        out[i:j] += own
+    return out
 
 
 def words(cp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, begin, end) of each run of word characters, without regard to case; positions are code points."""
     f = fold_table()[cp]
-    m = f > 0
-    edge = np.flatnonzero(np.diff(m.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+    inside = np.zeros(f.size + 2, bool)
+    np.not_equal(f, 0, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     begin, end = edge[::2], edge[1::2]
     if not begin.size:
         return np.zeros(0, np.uint64), begin, end
-    length = end - begin
-    at = np.cumsum(length) - length
-    place = np.arange(int(length.sum())) - np.repeat(at, length)
-    h = np.add.reduceat(f[m].astype(np.uint64) * powers(int(length.max()))[place], at)
-    return mixed(h + length.astype(np.uint64)), begin, end
+    return mixed(_run_sums(f, begin, end) + (end - begin).astype(np.uint64)), begin, end
 
 
 def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:

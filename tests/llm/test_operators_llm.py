@@ -610,3 +610,18 @@ def test_pipeline_on_odd_rows(spark, tmp_path, odd, labels, bench):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
     odd.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_words_of_long_runs_are_added_up_in_pieces(monkeypatch):
+    from reeltide.llm import kernels
+
+    rng = random.Random(5)
+    texts = ["x" * 300, " ".join("ab" * rng.randrange(1, 90) for _ in range(40)), "a b " * 100]
+    whole = [words(codepoints(t)) for t in texts]
+    monkeypatch.setattr(kernels, "PIECE", 64)
+    kernels._power_tables.cache_clear()
+    try:
+        for t, want in zip(texts, whole):
+            assert all((x == y).all() for x, y in zip(words(codepoints(t)), want))
+    finally:
+        kernels._power_tables.cache_clear()
