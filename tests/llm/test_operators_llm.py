@@ -383,11 +383,72 @@ def test_near_duplicates_odd_rows(odd, empty):
 
 
 def test_forest_on_findings_it_has_not_seen(spark):
-    all_ = secrets.made_findings(spark, 8000)
-    forest = secrets.train(all_.where("crc32(secret) % 4 > 0"))
-    told = all_.where("crc32(secret) % 4 = 0").selectExpr("label", f"named_struct('f', {secrets._vector('secret', 'before', 'after', 'path')}) AS x").selectExpr("label", f"{forest} >= 0.5 AS hit")
-    right = told.where("hit = (label > 0.5)").count() / told.count()
-    assert right > 0.97
+    lines = secrets.made_lines(spark, 4000)
+    model = secrets.fitted(secrets.vectors(lines.where("crc32(text) % 4 > 0"), []))
+    told = secrets.vectors(lines.where("crc32(text) % 4 = 0"), []).persist()
+    rows = told.selectExpr("label", "f", "named_struct('f', f) AS x").selectExpr("label", "f", f"{secrets.compiled(model.toDebugString)} AS score").collect()
+    from pyspark.ml.linalg import Vectors
+
+    trees = model.trees
+    for r in rows[::10]:
+        assert abs(r.score - np.mean([t.predict(Vectors.dense(r.f)) for t in trees])) < 1e-9
+    assert np.mean([(r.score >= 0.5) == (r.label > 0.5) for r in rows]) > 0.97 and len(rows) > 800
+
+
+SECRET_LINES = [
+    ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXbMPLEKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXbMPLEKEY"),
+    ('AWS_SECRET_ACCESS_KEY="wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXbMPLEKEY"', "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXbMPLEKEY"),
+    ("export GITHUB_TOKEN=ghp_1B4a2e77838347a7E420ce178F2E7c6912E169246", "ghp_1B4a2e77838347a7E420ce178F2E7c6912E169246"),
+    ("api_key=0123f89ab0cdef4567aa12bc9d3e4f5a", "0123f89ab0cdef4567aa12bc9d3e4f5a"),
+    ("token = kqVbXzRtYpLmNwQsDfGhJcTvBnMzXwEoUiAs", "kqVbXzRtYpLmNwQsDfGhJcTvBnMzXwEoUiAs"),
+    ("password: Tr0ub4dor99x", "Tr0ub4dor99x"),
+    ("postgres://admin:S3cretPw99@db", "S3cretPw99"),
+    ("see https://x.com/a?token=0f3c9a8b7d6e5f4a3b2c1d0e9f8a7b6c&x=1", "0f3c9a8b7d6e5f4a3b2c1d0e9f8a7b6c"),
+    ("commit 0123f89ab0cdef4567aa12bc9d3e4f5a fixed", None),
+    ("password: required for everything", None),
+    ("AWS_SECRET_ACCESS_KEY in the environment", None),
+    ("secret=${VAULT_SECRET}", None),
+    ('class="userAccountConfigHandlerValue"', None),
+]
+
+
+def test_lines_with_and_without_secrets(spark):
+    df = spark.createDataFrame([(i, t, "en", "src1", 0) for i, (t, _) in enumerate(SECRET_LINES)], DOCS)
+    got = {(r.doc_id, r.sha256) for r in secrets.scan(df).where("is_secret").collect()}
+    assert got == {(i, hashlib.sha256(v.encode()).hexdigest()) for i, (_, v) in enumerate(SECRET_LINES) if v}
+    out = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert all(out[i] == (t.replace(v, secrets.MASK) if v else t) for i, (t, v) in enumerate(SECRET_LINES))
+
+
+def test_candidates_and_features_against_plain_python(spark):
+    import regex
+
+    rng = random.Random(61)
+    texts = [t for t, _ in SECRET_LINES] + ["".join(rng.choice("aB3/=: \"'_-tokenkey:=\n@") for _ in range(rng.randrange(0, 120))) for _ in range(150)] + [" ".join(t for t, _ in SECRET_LINES)]
+    df = spark.createDataFrame([(i, t, "src1") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.c for r in secrets.scanned(df, None, "c", "p", ["environment"]).collect()}
+    at = {n: i for i, n in enumerate(secrets.FEATURES)}
+    for i, t in enumerate(texts):
+        found = list(regex.finditer(secrets.CANDIDATE, t))
+        assert [c.secret for c in got[i]] == [m[0] for m in found], t
+        for m, c in zip(found, got[i]):
+            s = m[0]
+            assert t[: m.start()].endswith(c.before) and t[m.end() :].startswith(c.after)
+            assert abs(c.f[at["digits"]] - sum(x in "0123456789" for x in s) / len(s)) < 1e-12
+            known = sum(len(p) for p in re.findall(secrets.PARTS, s) if p.lower() in {*secrets.DICTIONARY, "environment"})
+            assert abs(c.f[at["dictionary"]] - known / len(s)) < 1e-12
+            kinds = ["d" if x.isdigit() else "l" if x.islower() else "u" if x.isupper() else "o" for x in s]
+            moves = sum(x != y and (x != "o" or y != "o") for x, y in zip(kinds, kinds[1:]))
+            assert not s.isascii() or abs(c.f[at["transitions"]] - moves / len(s)) < 1e-12
+            assert c.f[at["hex"]] == float(bool(re.fullmatch("[0-9a-f]+|[0-9A-F]+", s)))
+
+
+def test_dictionary_against_counts(spark):
+    rng, vocab = random.Random(62), vocabulary(62, 300)
+    texts = [prose(rng, vocab[: 1 + i % 300], 40) for i in range(100)] + [None, "", "É là"]
+    got = secrets.dictionary(spark.createDataFrame([(t,) for t in texts], "text string"), 0.01)
+    n = Counter(w for t in texts for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower()))
+    assert got == sorted(w for w, k in n.items() if k >= 0.01 * n.total()) and 0 < len(got) <= 100
 
 
 def test_secrets_found_and_masked(spark):
