@@ -1,8 +1,9 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags; each has its length, the share of it inside links, the share of its words that are stop
-words, and the containers around it. First pass: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments, and
-blocks that are mostly links, are out; blocks of an article and long blocks with enough stop words are in; the rest are undecided:
+words, and the containers around it. First pass: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag, by hidden styles, or where a whole class, id or role
+names one), and blocks that are mostly links, are out; inside an article, headers and such containers as banners and widgets are out only as far as their
+blocks do not read like an article's; blocks of an article and long blocks with enough stop words are in; the rest are undecided:
 nearly good, short, or poor. On a page with next to no stop words, one in a language that is not listed, length decides in place of stop words. Second pass: undecided ones take the label of their nearest decided neighbours
 (blocks that their container puts out are no neighbours).
 
@@ -24,12 +25,18 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it is skipped up to the closing tag.
 RAW = frozenset("script style noscript template textarea iframe title svg math object select noembed noframes xmp".split())
-OUT_TAGS = frozenset("nav header footer aside form button dialog menu head fieldset label figcaption".split())
+OUT_TAGS = frozenset("nav footer aside form button dialog menu head fieldset label".split())
 IN_TAGS = frozenset(("article", "main"))
-#: Parts of class, id and role that mark a container as not of the article.
-OUT_PARTS = frozenset(
-    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer discussion footer form header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted related replies reply respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar widget alert complementary contentinfo search".split()
+#: Words of a class, id or role that name what is not of the article.
+OUT_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus discussion footer form header masthead menu nav navbar navigation newsletter notice notices pager pagination related replies reply respond share sharing shoutbox sidebar sponsor sponsored subscribe complementary contentinfo".split()
 )
+#: The same, but in an article they also stand for parts of it: there the density rules have the last word.
+LOOSE_WORDS = frozenset("alert banner disclaimer header login modal popup promo promoted search signup skip social tags toolbar widget".split())
+#: Words that say where or how a container stands, not what is in it.
+PLACES = frozenset("area bar block body bottom box center col column container content desktop fixed global group inner item items left links list main mobile off outer page primary right row secondary section site small sticky text top unit wrap wrapper zone".split())
+#: After these a word says what the container has or lacks.
+TURNS = frozenset("has hide hides is js no non not show toggle with without".split())
 #: Closed by the next tag of one of these kinds, if still open.
 CLOSES = {"p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")), "option": frozenset(("option", "optgroup"))}
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -48,42 +55,98 @@ RIGHTS = ("©", "copyright", "all rights reserved")
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_MARKS = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
-
-
-def _marked_out(attributes: str) -> bool:
-    for name, value in _MARKS.findall(attributes):
-        name = name.lower()
-        if name == "hidden":
-            return True
-        if name == "aria-hidden":
-            if "true" in value.lower():
-                return True
-        elif any(p.lower() in OUT_PARTS for p in _PART.findall(value)):
-            return True
-    return False
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
+
+def _names(token: str, words: frozenset[str]) -> bool:
+    """Whether a whole class, id or role names one of `words`: such as site-footer, blog-comments, sidebar-left or ad-1, not has-sidebar or login-guide."""
+    parts = [p.lower() for p in _PART.findall(token)]
+    if not any(p in words for p in parts) or any(p in TURNS for p in parts):
+        return False
+    return parts[-1] in words or all(p in OUT_WORDS or p in LOOSE_WORDS or p in PLACES or p.isdigit() for p in parts)
+
+
+def _marks(attributes: str) -> int:
+    """2 if the attributes of a tag put its content out, 1 if only by a word that an article may use for parts of its own, else 0."""
+    out = 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            return 2
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                if _names(token, OUT_WORDS):
+                    return 2
+                out = max(out, int(_names(token, LOOSE_WORDS)))
+    return out
 
 
 class Block:
     __slots__ = ("inside", "linked", "out", "parts", "tag")
 
-    def __init__(self, tag: str, inside: bool, out: bool):
+    def __init__(self, tag: str, inside: bool, out: int):
         self.tag, self.inside, self.out, self.parts, self.linked = tag, inside, out, [], []
 
 
-def blocks(page: str) -> list[tuple[str, str, float, bool, bool]]:
-    """(text, tag, share inside links, inside an article, in a container that is out) of each block with text, in page order."""
+#: (text, tag, share inside links, inside an article, 2 in a container that is out, 1 in one that is out unless the density rules say otherwise)
+Told = tuple[str, str, float, bool, int]
+
+
+class Open:
+    """The tags that are open: of each its name, whether it is inside an article, how far it is out, and where the next block-level one is at or below it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.count: dict[str, int] = {}
+
+    def push(self, tag: str, inside: bool, out: int) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, inside, out, at if tag in BLOCKS else self.block(at - 1)))
+        self.count[tag] = self.count.get(tag, 0) + 1
+
+    def block(self, at: int) -> int:
+        return self.stack[at][3] if at >= 0 else -1
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            self.count[self.stack.pop()[0]] -= 1
+
+    def close(self, tag: str) -> None:
+        if self.count.get(tag):
+            while self.stack[-1][0] != tag:
+                self.cut(len(self.stack) - 1)
+            self.cut(len(self.stack) - 1)
+
+    def closed_by(self, tag: str) -> None:
+        """Ends what a block-level tag ends by itself, looked for up to the next container."""
+        at = self.block(len(self.stack) - 1)
+        while at >= 0 and self.stack[at][0] in CLOSES:
+            if tag in CLOSES[self.stack[at][0]]:
+                self.cut(at)
+                return
+            at = self.block(at - 1)
+
+    def top(self) -> tuple[bool, int]:
+        return self.stack[-1][1:3] if self.stack else (False, 0)
+
+    def block_tag(self) -> str:
+        at = self.block(len(self.stack) - 1)
+        return self.stack[at][0] if at >= 0 else ""
+
+
+def blocks(page: str) -> list[Told]:
+    """Each block with text, in page order."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, inside an article, out
-    current = Block("", False, False)
+    opened = Open()
+    current = Block("", False, 0)
     links, i, n = 0, 0, len(page)
 
     def cut() -> Block:
         if current.parts:
             found.append(current)
-        tag = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
-        return Block(tag, bool(stack) and stack[-1][1], bool(stack) and stack[-1][2])
+        return Block(opened.block_tag(), *opened.top())
 
     while i < n:
         j = page.find("<", i)
@@ -115,10 +178,8 @@ def blocks(page: str) -> list[tuple[str, str, float, bool, bool]]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-            if tag in BLOCKS or (tag == "p"):
+            opened.close(tag)
+            if tag in BLOCKS or opened.top()[1] != current.out:
                 current = cut()
             continue
         if tag in RAW:
@@ -128,12 +189,7 @@ def blocks(page: str) -> list[tuple[str, str, float, bool, bool]]:
             i = n if end is None else end.end()
             continue
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if tag in CLOSES.get(stack[k][0], ()):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS and stack[k][0] not in CLOSES:
-                    break
+            opened.closed_by(tag)
         if tag == "br":
             current.parts.append("\n")
             current.linked.append(links > 0)
@@ -144,13 +200,17 @@ def blocks(page: str) -> list[tuple[str, str, float, bool, bool]]:
             continue
         if tag == "a":
             links += 1
-        _, inside, out = stack[-1] if stack else ("", False, False)
+        inside, out = opened.top()
         inside = inside or tag in IN_TAGS
-        out = out or tag in OUT_TAGS or (tag not in ("html", "body") and tag not in IN_TAGS and bool(attributes) and _marked_out(attributes))
-        stack.append((tag, inside, out))
-        if tag in BLOCKS:
-            current = cut()
-        elif out != current.out:  # an inline container that is out is a block of its own
+        if tag in OUT_TAGS:
+            out = 2
+        elif tag == "header":
+            out = max(out, 1 if inside else 2)
+        elif attributes and tag not in ("html", "body") and tag not in IN_TAGS:
+            mark = _marks(attributes)
+            out = max(out, mark if inside else 2 * mark)
+        opened.push(tag, inside, min(out, 2))
+        if tag in BLOCKS or min(out, 2) != current.out:  # an inline container that is out is a block of its own
             current = cut()
     if current.parts:
         found.append(current)
@@ -169,32 +229,40 @@ def stop_share(text: str) -> float:
     return sum(stops) / len(stops)
 
 
-def labels(found: list[tuple[str, str, float, bool, bool]]) -> list[bool]:
-    """Which of the blocks belong to the main text."""
-    article = any(inside and not out for _, _, _, inside, out in found)
-    judged = [not out and not (article and inside) and linked <= MANY_LINKS for _, _, linked, inside, out in found]
+def first_pass(found: list[Told]) -> list[str]:
+    """in, out and gone (in a container that is out); undecided: short, near (nearly good) and poor."""
+    article = any(inside and out < 2 for _, _, _, inside, out in found)
+    judged = [out < 2 and (out == 1 or not (article and inside)) and linked <= MANY_LINKS for _, _, linked, inside, out in found]
     shares = [stop_share(b[0]) if j else 0.0 for b, j in zip(found, judged, strict=True)]
     size = sum(len(b[0]) for b, j in zip(found, judged, strict=True) if j)
     foreign = sum(len(b[0]) * s for b, s in zip(found, shares, strict=True)) < NO_STOPS * size  # by length, as not all scripts part words
     first = []
     for (text, tag, linked, inside, out), density in zip(found, shares, strict=True):
-        if out:
+        if out == 2:
             first.append("gone")
+        elif out == 1:  # only what reads like running text, or is a heading, stays
+            good = linked <= MANY_LINKS and (tag in HEADINGS or tag == "p" or (len(text) >= LONG and (foreign or density >= MANY_STOPS)))
+            first.append("in" if good else "gone")
         elif article and inside:
             first.append("in" if linked <= 0.8 or len(text) >= LONG else "short")
         elif text.lower().startswith(RIGHTS):
             first.append("out")
         elif linked > MANY_LINKS:
             first.append("out")
+        elif len(text) < SHORT and tag != "p":
+            first.append("short")
+        elif (foreign or density >= MANY_STOPS) and len(text) >= LONG:
+            first.append("in")
+        elif foreign or density >= FEW_STOPS or len(text) < SHORT:
+            first.append("near")
         else:
-            if len(text) < SHORT and tag != "p":
-                first.append("short")
-            elif (foreign or density >= MANY_STOPS) and len(text) >= LONG:
-                first.append("in")
-            elif foreign or density >= FEW_STOPS or len(text) < SHORT:
-                first.append("near")
-            else:
-                first.append("poor")
+            first.append("poor")
+    return first
+
+
+def labels(found: list[Told]) -> list[bool]:
+    """Which of the blocks belong to the main text."""
+    first = first_pass(found)
     n = len(first)
 
     def nearest(step: int) -> list[tuple[str | None, int]]:

@@ -198,6 +198,75 @@ def test_extract_frame(spark):
     assert got[None] == (None, 0, "") and got[1][1] == len(got[1][2])
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "layout-no-sidebar", "login-guide", "banner-photo", "with-sidebar", "adventure", "headers-explained"])
+def test_containers_that_only_sound_like_others(name):
+    assert htmltext.main_text(f'<div class="{name}"><p>good</p></div>') == "good"
+    assert htmltext.main_text(f'<article><div class="{name}"><p>good</p></div></article>') == "good"
+
+
+@pytest.mark.parametrize("name", ["site-footer", "cookie-notice", "ad-1", "comments", "blog-comments", "sidebar-left", "ad", "mainNav", "x comment-list"])
+def test_containers_that_are_out(name):
+    long = "This is what a reader has written about the text and it goes on for a while so that it is long enough to be counted as good by the rules of it."
+    assert htmltext.main_text(f'<article><div class="{name}"><p>{long}</p></div>x</article>') == "x"
+    assert htmltext.main_text(f'<article>x<div id="{name.split()[-1]}"><p>{long}</p></div></article>') == "x"
+
+
+def test_attributes_are_read_by_name():
+    page = '<p title="the hidden truth">a</p><div data-id="comment-form">b</div><p style="display:none">c</p><p hidden>d</p><p aria-hidden="true">e</p><p aria-hidden="false">f</p><p style="color:red">g</p>'
+    assert htmltext.main_text(f"<article>{page}</article>") == "a\nb\nf\ng"
+    assert htmltext.main_text("<article><header><h1>T</h1><span>menu</span></header><p>x</p><figure><figcaption>cap</figcaption></figure></article>") == "T\nx\ncap"
+    long = "This is the paragraph that is about the author of the text and it goes on for a while so that it is long enough to be counted as good by the rules of it."
+    assert htmltext.main_text(f'<article><div class="banner"><div>{long}</div><div>Buy now</div></div><p>x</p></article>') == f"{long}\nx"
+
+
+def brute_labels(found):
+    first, n = htmltext.first_pass(found), len(found)
+    kept = []
+    for i, what in enumerate(first):
+        before = [j for j in range(i - 1, -1, -1) if first[j] in ("in", "out")][:1]
+        after = [j for j in range(i + 1, n) if first[j] in ("in", "out")][:1]
+        a, b = (first[x[0]] if x else None for x in (before, after))
+        closer = a if before and (not after or i - before[0] < after[0] - i) else b
+        if what in ("in", "out", "gone"):
+            kept.append(what == "in")
+        elif a is None and b is None:
+            kept.append(True)
+        elif what == "near":
+            kept.append("in" in (a, b) or None in (a, b))
+        elif what == "short":
+            kept.append(a == b == "in" or (found[i][1] in htmltext.HEADINGS and b == "in") or ({a, b} != {a} and "in" in (a, b) and closer == "in"))
+        else:
+            kept.append(a == b == "in")
+    return kept
+
+
+def test_second_pass_against_brute_force():
+    rng = random.Random(41)
+    texts = ["This is the text that is about the author of it and that goes on for a while so that it is long enough to be counted as good by the rules of the page and it is.", "a few words of it here", "Loose", "names lists words things " * 8, "© us"]
+    for _ in range(300):
+        found = [(rng.choice(texts), rng.choice(["p", "div", "h2", "li"]), rng.choice([0.0, 0.0, 1.0]), False, rng.choice([0, 0, 0, 1, 2])) for _ in range(rng.randrange(0, 14))]
+        assert htmltext.labels(found) == brute_labels(found)
+
+
+@pytest.mark.parametrize("piece", ["<b></i>x", "<span><hr>x", "<span><p>x", "<li><td>x", "</div>x", "<a href='x"])
+def test_unmatched_tags_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        htmltext.main_text(piece * n)
+        return time.process_time() - began
+
+    took(100)
+    assert took(32_000) < 12 * took(4_000) + 0.2
+
+
+def test_extract_repeated_rows_and_nothing(spark):
+    df = spark.createDataFrame([(1, "u", PAGE)] * 3, "page_id long, url string, html string")
+    assert len({tuple(r) for r in htmltext.extract(df).collect()}) == 1 and htmltext.extract(df).count() == 3
+    assert htmltext.extract(df.limit(0)).count() == 0
+
+
 # --- 3 fingerprints
 
 
