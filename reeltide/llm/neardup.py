@@ -7,7 +7,7 @@ components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
 text, the one that most sketches agree on), never all pairs. Texts of a bucket that are still in different classes are then compared along chains,
-ordered by another sketch each time, until a round finds no new link by shingles. What is left, every pair that shares a sketch and is still in different
+ordered by another sketch each time, until a round finds no new link. What is left, every pair that shares a sketch and is still in different
 classes, is compared at last: buckets are cut into blocks, and of a pair of blocks those pairs go on whose counts of words and shingles by bins allow a
 link, which no linked pair fails. Texts move once to be turned into word numbers, of candidates only afterwards.
 Hot texts of stars are joined as one row a key against many, which AQE splits.
@@ -28,12 +28,14 @@ from reeltide.llm.common import durable, durable_in_loop, neighbours, read, rele
 from reeltide.llm.components import components, flattened, follow
 from reeltide.llm.kernels import codepoints, mixed, multipliers, occurrences, shingles, words
 
-SHINGLE, SKETCHES, ORDER, SIMILARITY = 5, 16, 2, 0.8
+SHINGLE, SKETCHES, ORDER, SIMILARITY = 5, 32, 2, 0.8
 #: Share of aligned words. A text with every twelfth word changed has 0.92 of them aligned, and 0.4 of its shingles in common; below 0.9 short texts
 #: with a line in common would be taken for copies.
 ALIGNED = 0.9
-#: Texts of more words are split at shared unique shingles before they are aligned.
+#: Texts of more words are first aligned between shared unique shingles, which is enough where it finds what is asked for.
 DIRECT = 4096
+#: Sketches of so many shingles are made at once.
+PIECE = 1 << 15
 #: Bins of words and of distinct shingles, counts that stand for any number, and texts of a block.
 WORD_BINS, SHINGLE_BINS, FULL, BLOCK = 64, 128, 65535, 64
 
@@ -41,22 +43,23 @@ _FACTORS = multipliers(SKETCHES, 5)
 
 
 def order_sketches(h: np.ndarray) -> np.ndarray:
-    """SKETCHES hashes of the ORDER least occurrence-labelled shingles, in the order of the text; none for a text without words."""
+    """SKETCHES hashes of the ORDER (two) least occurrence-labelled shingles, in the order of the text; none for a text without words."""
     s = shingles(h, SHINGLE)
     if not s.size:
         return s
     label = mixed(s + occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    out = np.empty(SKETCHES, np.uint64)
-    for m in range(SKETCHES):
-        v = label * _FACTORS[m]
-        first = int(v.argmin())
-        if v.size > 1:
-            v[first] = np.uint64(2**64 - 1)
-            at = sorted((first, int(v.argmin())))
-        else:
-            at = [first, first]
-        out[m] = (label[at[0]] ^ np.uint64(m)) ^ (label[at[1]] >> np.uint64(1))
-    return mixed(out)
+    least, places = [], []
+    rows = np.arange(SKETCHES)
+    for at in range(0, label.size, PIECE):  # the two least of each piece, of which the two least of all are
+        v = label[None, at : at + PIECE] * _FACTORS[:, None]
+        for _ in range(min(ORDER, v.shape[1])):
+            first = v.argmin(axis=1)
+            least.append(v[rows, first])
+            places.append(first + at)
+            v[rows, first] = np.uint64(2**64 - 1)
+    least, places = np.array(least), np.array(places)
+    two = np.sort(np.take_along_axis(places, np.argsort(least, axis=0, kind="stable")[:ORDER], 0), axis=0)
+    return mixed((label[two[0]] ^ np.arange(SKETCHES, dtype=np.uint64)) ^ (label[two[-1]] >> np.uint64(1)))
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,15 +146,19 @@ def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> Data
     return meet.select("xs", "ys").mapInArrow(_met, "x binary, y binary").dropDuplicates(["x", "y"])
 
 
-def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The most words of a and b that can be matched in order with positions at most `band` apart, by bit-parallel dynamic programming."""
+def aligned(a: np.ndarray, b: np.ndarray, band: int, least: int = 0) -> int:
+    """The most words of a and b that can be matched in order with positions at most `band` apart, by bit-parallel dynamic programming.
+
+    Of texts of more than DIRECT words, where fewer than `least` matches turn out to be possible, a number below `least` is given.
+    """
     if not a.size or not b.size:
         return 0
+    if a.size > DIRECT:
+        return _aligned_in_band(a, b, band, least)
     bits: dict[int, int] = {}
     for i, x in enumerate(a.tolist()):
         bits[x] = bits.get(x, 0) | (1 << i)
-    full = (1 << a.size) - 1
-    wide = (1 << (2 * band + 1)) - 1
+    full, wide = (1 << a.size) - 1, (1 << (2 * band + 1)) - 1
     v = full
     for j, x in enumerate(b.tolist()):
         m = bits.get(x)
@@ -163,8 +170,52 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return a.size - v.bit_count()
 
 
+def _aligned_in_band(a: np.ndarray, b: np.ndarray, band: int, least: int) -> int:
+    """aligned() with only those bits of a held that the band reaches, so that memory grows with the band."""
+    order = np.argsort(a, kind="stable")
+    values, first = np.unique(a[order], return_index=True)
+    first = np.append(first, a.size)
+    at = np.minimum(np.searchsorted(values, b), values.size - 1)
+    known = (values[at] == b).tolist()
+    low, high, found = 0, min(a.size, band + 1), 0
+    v = (1 << high) - 1  # of places low to high - 1 of a; a zero is a match
+    for j in range(b.size):
+        down = min(j - band, a.size) - low
+        if down > 0:
+            found += down - (v & ((1 << down) - 1)).bit_count()
+            v >>= down
+            low += down
+            if low >= a.size:
+                return found
+        up = min(a.size, j + band + 1) - high
+        if up > 0:
+            v |= ((1 << up) - 1) << (high - low)
+            high += up
+        if not j % 1024 and found + (high - low - v.bit_count()) + b.size - j < least:
+            return 0
+        if not known[j]:
+            continue
+        where = order[first[at[j]] : first[at[j] + 1]]
+        where = where[np.searchsorted(where, low) : np.searchsorted(where, high)]
+        if where.size <= 64:
+            m = 0
+            for p in where.tolist():
+                m |= 1 << (p - low)
+        else:
+            held = np.zeros(high - low, np.uint8)
+            held[where - low] = 1
+            m = int.from_bytes(np.packbits(held, bitorder="little").tobytes(), "little")
+        u = v & m
+        if u:
+            v = ((v + u) | (v - u)) & ((1 << (high - low)) - 1)
+    return found + high - low - v.bit_count()
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
-    """Aligned words over the words of the longer text; the band is what `similarity` leaves for insertions and deletions."""
+    """Aligned words over the words of the longer text; the band is what `similarity` leaves for insertions and deletions.
+
+    The share is exact where the texts are short; else it may be a bound, on the same side of `similarity` as the exact one.
+    """
     longer = max(a.size, b.size)
     if not longer:
         return 1.0
@@ -183,13 +234,14 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     differ = np.flatnonzero(a[head:][::-1][: n - head] != b[head:][::-1][: n - head])
     tail = int(differ[0]) if differ.size else n - head
     x, y = a[head : a.size - tail], b[head : b.size - tail]
-    if max(x.size, y.size) <= DIRECT:
-        return (head + tail + aligned(x, y, band)) / longer
-    return (head + tail + _between_anchors(x, y, band)) / longer
+    need = int(np.ceil(similarity * longer)) - head - tail
+    if max(x.size, y.size) > DIRECT and (some := _between_anchors(x, y, band)) >= need:
+        return (head + tail + some) / longer  # a lower bound, not below what is asked for
+    return (head + tail + aligned(x, y, band, need)) / longer
 
 
 def _between_anchors(x: np.ndarray, y: np.ndarray, band: int) -> int:
-    """aligned() between shingles that are unique in both, taken in an order that rises in both."""
+    """A lower bound of aligned(): between shingles that are unique in both, taken in an order that rises in both."""
     sx, sy = shingles(x.astype(np.uint64), SHINGLE), shingles(y.astype(np.uint64), SHINGLE)
     ux, ix, cx = np.unique(sx, return_index=True, return_counts=True)
     uy, iy, cy = np.unique(sy, return_index=True, return_counts=True)
@@ -280,7 +332,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         order = F.struct("own", F.xxhash64("tid", F.lit(turn)).alias("h"))  # texts that also share another sketch come together
         some = now.groupBy("sketch", "root").agg(F.min(F.struct(order.alias("o"), "tid")).alias("m")).select("sketch", "root", "m.o", "m.tid")
         several = some.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch")
-        chain = neighbours(some.join(several, "sketch"), ["sketch"], ["o"], ["tid", "root"], salts, F.xxhash64("o.own"), reach=2)
+        chain = neighbours(some.join(several, "sketch"), ["sketch"], ["o"], ["tid", "root"], salts, F.xxhash64("tid"), reach=2)
         ends = (F.least("x_tid", "y_tid").alias("x"), F.greatest("x_tid", "y_tid").alias("y"))
         roots = (F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b"))
         done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -291,8 +343,6 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         found = more.where("ok").join(fresh, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
         labels, tested, turn = follow(labels, components(found)), tested.unionByName(more), turn + 1
-        if more.where("strong").isEmpty():
-            break
 
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = _verify(durable_in_loop(_remaining(shared, labels, numbers).join(done, ["x", "y"], "left_anti")), numbers).where("ok")
