@@ -671,6 +671,32 @@ def test_language_held_out_accuracy(spark):
     assert np.mean(out) > 0.97
 
 
+def test_language_against_sets_of_n_grams(spark):
+    docs = common.read(spark, SF, "documents").where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = [(r.lang, r.text) for r in docs.collect()]
+    counts = {}
+    for lang, text in rows:
+        letters = "".join(c.lower() if c.isalpha() else " " for c in text)
+        f = "  " + " ".join(letters.split()) + " "  # two at the beginning, as before the first word
+        for k in (3, 4):
+            counts.setdefault(lang, Counter()).update(f[i : i + k] for i in range(len(f) - k + 1)) if letters.split() else None
+    want = {lang: sum(n >= langid.RATE * c.total() for n in c.values()) for lang, c in counts.items()}
+    known = langid.frequent(docs)
+    assert {lang: len(x) for lang, x in known.items()} == want
+    langs, bits, false = langid.filters(known)
+    for _, text in rows[:60]:
+        own = langid.grams(text)
+        exact = np.array([np.isin(own, known[x]).sum() for x in langs], float)
+        told = langid.hits_of(own, bits, len(langs))
+        assert (told >= exact).all() and (np.abs(told - exact) <= 5 + 0.02 * own.size).all()
+
+
+def test_too_many_languages_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(spark.createDataFrame([(f"l{i}", "abc def") for i in range(5)], "lang string, text string"))
+
+
 def test_language_odd_rows(spark, odd, empty):
     got = langid.identify(odd).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
@@ -761,6 +787,25 @@ def test_stretches_are_shared_out_among_windows():
         assert h.size == n - substrings.LENGTH + 1 and h[-1] == substrings.stretches(s[-substrings.LENGTH :])[0]
 
 
+def test_places_and_reaches_of_long_texts():
+    c = np.array([5, 9_000_000, 2**31 - 2])
+    left, right = np.array([0, 8_700_000, 17]), np.array([7, 9_400_000, 2**31 - 1])
+    for fn in range(substrings.FUNCTIONS):
+        assert [x.tolist() for x in substrings._unpacked(substrings._placed(fn, c), substrings._reach(c, left, right))] == [[fn] * 3, c.tolist(), left.tolist(), right.tolist()]
+
+
+def test_repeated_and_string_ids(spark):
+    rng, vocab = random.Random(77), vocabulary(77)
+    passage = prose(rng, vocab, 70)
+    texts = [f"{prose(rng, vocab, 30)} {passage} {prose(rng, vocab, 30)}" for _ in range(6)]
+    rows = [("b", texts[0]), ("a", texts[1]), ("a", texts[2]), ("a", texts[2]), ("c", texts[3]), ("c", None), (None, texts[4]), ("d", prose(rng, vocab, 90))]
+    got = substrings.repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len({tuple(r) for r in got}) == len(got) and {(r.doc_id, r.source_id) for r in got} <= {("a", "a"), ("b", "a"), ("c", "a"), ("c", "b")} and {r.doc_id for r in got} == {"a", "b", "c"}
+    number = {"a": 1, "b": 2, "c": 3, "d": 4, None: None}
+    again = substrings.repeats(spark.createDataFrame([(number[i], t, 0) for i, t in rows], "doc_id long, text string, n int")).collect()
+    assert sorted((r.doc_id, r.begin, r.source_id) for r in again) == sorted((number[r.doc_id], r.begin, number[r.source_id]) for r in got)
+
+
 def test_substrings_odd_rows(odd, empty):
     rows = substrings.repeats(odd).collect()
     assert all(r.doc_id == 7 == r.source_id for r in rows)
