@@ -2,7 +2,8 @@
 
 Labelled page outcomes (bad or good) are counted by host; a beta-binomial prior is passed down from the suffix to the
 registered domain to the host, with strengths fitted by moments from the spread between groups, and a host is blocked when
-the lower posterior bound of its share of bad pages is above a limit.
+the lower posterior bound of its share of bad pages is above a limit. An outcome is a label of the document that a page shows, whose number its path ends with. Names that
+speak for themselves are a list beside the counts, not in them: a host with such a part is blocked whatever its posterior, and the reason says so.
 
 Scale: pages are read as narrow rows (id, host, path); counts are combined before they are shuffled, so a hot host costs one row
 a task; the table of hosts is broadcast only up to a checked number of rows.
@@ -18,11 +19,13 @@ from reeltide.llm.common import durable, look_up, read, strength
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Parts of a host name (between dots and hyphens) that label its pages as bad.
+#: Parts of a host name (between dots and hyphens) for which it is blocked by name.
 BAD_PARTS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "warez")
 
 #: Second-level labels under which names are registered one level deeper, as in co.uk.
-SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: What stands for the suffix of hosts that are addresses.
+ADDRESS = "(address)"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,36 +49,44 @@ def by_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def registered(host: Column) -> Column:
-    """The last two labels of a host, three under names such as co.uk."""
-    labels = F.split(host, r"\.")
-    deep = (F.size(labels) >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
-    return F.when(deep, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def site_of(host: Column) -> Column:
+    """A host without the user and the port: what reputation is kept for."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+
+
+def is_address(site: Column) -> Column:
+    return site.rlike(r"^\d{1,3}(\.\d{1,3}){3}$|^\[")
+
+
+def registered(site: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> Column:
+    """The last two labels of a site, three under names such as co.uk; an address is its own domain."""
+    labels = F.split(site, r"\.")
+    deep = (F.size(labels) >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*second_level)
+    return F.when(is_address(site), site).when(deep, F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
 
 
 def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts by host: host, n, bad.
+    """(site, path) -> counts by site: site, n, bad.
 
-    A page is bad if its host has a part of BAD_PARTS, or if the document that its path ends with is labelled as of no quality or toxic; it is
-    good if that document is labelled otherwise; other pages have no outcome. Several labels of a document count as bad if any is.
+    A page is bad if the document that its path ends with is labelled as of no quality or toxic, good if that is labelled otherwise; other pages have no
+    outcome. Several labels of a document count as bad if any is.
     """
-    part = F.col("host").rlike(rf"(^|[.\-])({'|'.join(BAD_PARTS)})([.\-]|$)")
     known = labels.where("doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL)")
     known = known.groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("int")).alias("bad"))
     doc = F.regexp_extract("path", r"/(\d{1,18})[^/]*/?$", 1)
-    rest = pages.where(~part).select("host", F.when(doc != "", doc.cast("long")).alias("doc_id")).where("doc_id IS NOT NULL")
-    seen = pages.where(part).select("host", F.lit(1).alias("bad")).unionByName(rest.join(known, "doc_id").select("host", "bad"))
-    return seen.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
+    seen = pages.select("site", F.when(doc != "", doc.cast("long")).alias("doc_id")).where("doc_id IS NOT NULL")
+    return seen.join(known, "doc_id").groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
 
 
-def reputation(hosts: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame:
-    """(host, n, bad), and the hosts that are asked for -> host, rate, lower: posterior mean and lower bound of the share of bad pages.
+def reputation(sites: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame:
+    """(site, n, bad), and the sites that are asked for -> site, rate, lower: posterior mean and lower bound of the share of bad pages.
 
     The suffix is shrunk towards the whole, the domain towards its suffix, the host towards its domain. The bound is the mean less z
-    posterior standard deviations. Hosts without outcomes have the posterior of their domain, of their suffix if that has none either, or of the whole.
+    posterior standard deviations. Sites without outcomes have the posterior of their domain, of their suffix if that has none either, or of the whole.
     """
-    hosts = asked.select("host").distinct().join(hosts, "host", "left").select("host", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")])
-    hosts = durable(hosts.withColumn("domain", registered(F.col("host"))).withColumn("suffix", F.substring_index("domain", ".", -1)))
+    hosts = asked.select("site").distinct().join(sites, "site", "left").select("site", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")])
+    suffix = F.when(is_address(F.col("site")), ADDRESS).otherwise(F.substring_index("domain", ".", -1))
+    hosts = durable(hosts.withColumn("domain", registered(F.col("site"))).withColumn("suffix", suffix))
     sums = lambda by: hosts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     base = ((whole["bad"] or 0) + 1) / ((whole["n"] or 0) + 2)
@@ -88,22 +99,25 @@ def reputation(hosts: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame
     domains = look_up(sums(["suffix", "domain"]), suffixes, ["suffix"])
     domains = shrunk(domains, F.col("suffix_rate"), "domain_rate").select("domain", "domain_rate")
     out = shrunk(look_up(hosts, domains, ["domain"]), F.col("domain_rate"), "rate")
-    return out.select("host", "rate", (F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))).alias("lower"))
+    return out.select("site", "rate", (F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))).alias("lower"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.4) -> DataFrame:
-    """Every page's url judged: page_id, host, path, rule, verdict, rate, lower.
+def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.4, bad_parts: tuple[str, ...] = BAD_PARTS) -> DataFrame:
+    """Every page's url judged: page_id, host, path, rule, verdict, reason, rate, lower.
 
-    verdict is that of the longest fitting rule, else block where the lower bound of the host, whether it has outcomes or not, is above `limit`, else allow. A null url, one without
-    :// and an empty host have empty parts, no rule and allow. Repeated rows are judged each; an empty table of labels leaves the rules and
-    the host parts. Other columns of pages are not read.
+    verdict is that of the longest fitting rule, else block where the host's name has one of `bad_parts`, or where the lower bound of the host, whether it has
+    outcomes or not, is above `limit`, else allow; reason is rule, name or reputation. A null url, one without :// and an empty host have empty parts, no rule and
+    allow. Repeated rows are judged each; an empty table of labels leaves the rules and the names; an empty table of pages gives no rows. Other columns are not read.
     """
-    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    named = parts.where("host <> ''")
+    parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(F.col("host")))
+    named = parts.where("site <> ''")
     known = reputation(outcomes(named, labels.select("doc_id", "quality", "toxic")), named)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    told = look_up(parts, known, ["host"]).withColumns({"rule": rule, "verdict": verdict})
-    return told.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("lower") > limit, "block").otherwise("allow")).alias("verdict"), "rate", "lower")
+    by_name = F.col("site").rlike(rf"(^|[.\-])({'|'.join(bad_parts)})([.\-]|$)") if bad_parts else F.lit(False)
+    told = look_up(parts, known, ["site"]).withColumns({"rule": rule, "verdict": verdict, "by_name": by_name})
+    judged = F.coalesce("verdict", F.when(F.col("by_name") | (F.col("lower") > limit), "block").otherwise("allow"))
+    reason = F.when(F.col("verdict").isNotNull(), "rule").when(F.col("by_name"), "name").otherwise("reputation")
+    return told.select("page_id", "host", "path", "rule", judged.alias("verdict"), reason.alias("reason"), "rate", "lower")
 
 
 def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,30 +130,34 @@ ORACLES = {
     WITH parts AS (
         SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-    marked AS (SELECT *, regexp_matches(host, '(^|[.\-])(ads|adult|bets|casino|pills|porn|spam|track|viagra|warez)([.\-]|$)') AS part,
-               nullif(regexp_extract(path, '/(\d{1,18})[^/]*/?$', 1), '')::BIGINT AS doc_id FROM parts WHERE host <> ''),
+    marked AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS site FROM parts),
+    paged AS (SELECT *, regexp_matches(site, '(^|[.\-])(ads|adult|bets|casino|pills|porn|spam|track|viagra|warez)([.\-]|$)') AS by_name,
+               nullif(regexp_extract(path, '/(\d{1,18})[^/]*/?$', 1), '')::BIGINT AS doc_id FROM marked),
     known AS (SELECT doc_id, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad FROM labels
               WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
-    seen AS (SELECT host, 1 AS bad FROM marked WHERE part UNION ALL SELECT host, bad FROM marked JOIN known USING (doc_id) WHERE NOT part),
-    hosts AS (SELECT host, count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, string_split(host, '.') AS l FROM seen GROUP BY host),
-    named AS (SELECT host, n, bad, array_to_string(list_slice(l, greatest(1, len(l) - CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END), len(l)), '.') AS domain, l[-1] AS suffix FROM hosts),
+    hosts AS (SELECT site, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(site, '.') AS l, regexp_matches(site, '^\d{1,3}(\.\d{1,3}){3}$|^\[') AS address
+              FROM paged LEFT JOIN known USING (doc_id) WHERE site <> '' GROUP BY site),
+    named AS (SELECT site, n, bad, CASE WHEN address THEN site ELSE array_to_string(list_slice(l, greatest(1, len(l) - CASE WHEN len(l) >= 3 AND length(l[-1]) = 2
+              AND l[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gouv', 'gov', 'gv', 'ltd', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'plc', 'sch') THEN 2 ELSE 1 END), len(l)), '.') END AS domain,
+              CASE WHEN address THEN '(address)' ELSE l[-1] END AS suffix FROM hosts),
     base AS (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) AS rate FROM named),
     s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT rate FROM base) AS up FROM named GROUP BY suffix),
-    sk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM s),
+    sk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM s WHERE n > 0),
     sr AS (SELECT suffix, (bad + k * up) / (n + k) AS rate FROM s, sk),
     d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(rate) AS up FROM named JOIN sr USING (suffix) GROUP BY suffix, domain),
-    dk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM d),
+    dk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM d WHERE n > 0),
     dr AS (SELECT domain, (bad + k * up) / (n + k) AS up FROM d, dk),
-    h AS (SELECT host, n, bad, up FROM named JOIN dr USING (domain)),
-    hk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM h),
-    hr AS (SELECT host, (bad + k * up) / (n + k) AS rate, n + k AS weight FROM h, hk),
-    told AS (SELECT page_id, host, path, rate - 1.28 * sqrt(rate * (1 - rate) / (weight + 1)) AS lower,
+    h AS (SELECT site, n, bad, up FROM named JOIN dr USING (domain)),
+    hk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM h WHERE n > 0),
+    hr AS (SELECT site, (bad + k * up) / (n + k) AS rate, n + k AS weight FROM h, hk),
+    told AS (SELECT page_id, host, path, by_name, rate - 1.28 * sqrt(rate * (1 - rate) / (weight + 1)) AS lower,
         CASE WHEN host LIKE '%.example.org' OR host = 'example.org' THEN
                   CASE WHEN starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN starts_with(path, '/es/') THEN 'example.org/es/' WHEN starts_with(path, '/') THEN 'org/' END
              WHEN (host LIKE '%.org' OR host = 'org') AND starts_with(path, '/') THEN 'org/'
              WHEN (host LIKE '%.com' OR host = 'com') AND starts_with(path, '/fr/') THEN 'com/fr/'
              WHEN (host LIKE '%.com' OR host = 'com') AND starts_with(path, '/de/') THEN 'com/de/' END AS rule
-        FROM parts LEFT JOIN hr USING (host))
-    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.4 THEN 'block' ELSE 'allow' END AS verdict FROM told
+        FROM paged LEFT JOIN hr USING (site))
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN by_name OR lower > 0.4 THEN 'block' ELSE 'allow' END AS verdict,
+        CASE WHEN rule IS NOT NULL THEN 'rule' WHEN by_name THEN 'name' ELSE 'reputation' END AS reason FROM told
     """,
 }
