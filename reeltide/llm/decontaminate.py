@@ -5,8 +5,11 @@ as long as the items of a partition, at every STEP-th shingle, so that an item t
 item are compared by HASHES min-hashes, and one equal min-hash makes a candidate. Candidates are verified by exact containment: the share of
 the item's shingles that the document has.
 
-Scale: one map over the documents, no shuffle. The items are a test set, read in blocks of at most ITEMS, each a stated query set against all
-documents; a block's sketches are what is broadcast, and its size is bounded by that number.
+A min-hash that more than HOT items share (a common prompt line) makes no candidates: documents that have it are held against all items of such min-hashes
+at once, by an index of the items' shingles, which is exact.
+
+Scale: one map over the documents, no shuffle. The items are a test set, read one block after the other, each a stated query set against all
+documents; a block has at most ITEMS items and about BYTES of text, which bounds its sketches, which are what is broadcast.
 """
 
 from __future__ import annotations
@@ -24,9 +27,13 @@ from reeltide.llm.kernels import codepoints, multipliers, shingles, words
 
 SHINGLE, HASHES, STEP, ITEMS, CHUNK, TINY = 5, 24, 8, 20_000, 1 << 15, 4
 SIMILARITY = 0.8
+#: Bytes of text of a block of items; of one item more if that is longer.
+BYTES = 16_000_000
+#: Items that share a min-hash and are still candidates one by one.
+HOT = 32
 
 #: (item_id, text) rows of a block of items
-Items = list[tuple[int | None, str | None]]
+Items = list[tuple[object, str | None]]
 
 
 class Sketches:
@@ -58,9 +65,38 @@ class Sketches:
             bits = np.zeros(1 << 20, bool)
             bits[sig & np.uint64((1 << 20) - 1)] = True
             self.bits[part] = bits
+        self._index()
+
+    def _index(self) -> None:
+        """By shingle length: the shingles of the items of hot min-hashes, and who has each."""
+        self.index: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        hot: dict[int, set[int]] = {}
+        for part, values in self.values.items():
+            new = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+            for at, n in zip(new.tolist(), np.diff(np.r_[new, values.size]).tolist(), strict=True):
+                if n > HOT:
+                    hot.setdefault(part[0], set()).update(self.owners[part][at : at + n].tolist())
+        for k, members in hot.items():
+            items = np.array(sorted(members))
+            every = np.concatenate([self.sets[i] for i in items.tolist()])
+            own = np.repeat(np.arange(items.size), [self.sets[i].size for i in items.tolist()])
+            order = np.argsort(every, kind="stable")
+            values, begin = np.unique(every[order], return_index=True)
+            self.index[k] = values, np.append(begin, every.size), own[order], items
+
+    def held(self, k: int, mine: np.ndarray, similarity: float) -> list[int]:
+        """The items of hot min-hashes of which the distinct shingles `mine` are `similarity` or more."""
+        values, begin, own, items = self.index[k]
+        at = np.minimum(np.searchsorted(values, mine), values.size - 1)
+        at = at[values[at] == mine]
+        n = begin[at + 1] - begin[at]
+        places = np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        count = np.bincount(own[places], minlength=items.size)
+        sizes = np.array([self.sets[i].size for i in items.tolist()])
+        return items[count / sizes >= similarity - 1e-12].tolist()
 
     def candidates(self, s: np.ndarray, k: int) -> Iterator[tuple[int, int, int]]:
-        """(item, begin, end): an item and a range of s whose window shares a min-hash with it."""
+        """(item, begin, end): an item and a range of s whose window shares a min-hash with it; -1 for the items of a hot min-hash."""
         sizes = sorted(size for kk, size in self.parts if kk == k)
         for size in [x for x in sizes if x <= TINY]:
             for item, at in self._owners((k, size), s[None, :]):
@@ -95,7 +131,7 @@ class Sketches:
         a, b = (np.searchsorted(self.values[part], values, side) for side in ("left", "right"))
         for u in np.flatnonzero(b > a):
             seen = np.unique(cols[where == u]).tolist()
-            for item in self.owners[part][a[u] : b[u]].tolist():
+            for item in self.owners[part][a[u] : b[u]].tolist() if b[u] - a[u] <= HOT else (-1,):
                 for c in seen:
                     yield item, c
 
@@ -115,20 +151,26 @@ def contained(texts: list[str], sketches: Sketches, similarity: float = SIMILARI
         for doc, item in sorted(pairs):
             if doc not in sets:
                 sets = {doc: np.unique(own[doc])}
+            if item < 0:
+                for other in sketches.held(k, sets[doc], similarity):
+                    found[doc, other] = float(np.isin(sketches.sets[other], sets[doc], assume_unique=True).mean())
+                continue
             share = np.isin(sketches.sets[item], sets[doc], assume_unique=True).mean()
             if share >= similarity - 1e-12:
                 found[doc, item] = float(share)
     return [(d, i, s) for (d, i), s in sorted(found.items())]
 
 
-def item_blocks(benchmark: DataFrame, size: int = ITEMS) -> Iterator[Items]:
-    """The items, at most `size` at a time."""
+def item_blocks(benchmark: DataFrame, size: int = ITEMS, most: int = BYTES) -> Iterator[Items]:
+    """The items, at most `size` at a time, and no more once they have `most` characters of text."""
     held: Items = []
+    chars = 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         held.append((r["item_id"], r["text"]))
-        if len(held) >= size:
+        chars += len(r["text"] or "")
+        if len(held) >= size or chars >= most:
             yield held
-            held = []
+            held, chars = [], 0
     if held:
         yield held
 
@@ -143,7 +185,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     id_type = benchmark.schema["item_id"].dataType.simpleString()
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     rows, out = docs.select("doc_id", "text"), None
-    for block in [*item_blocks(benchmark)] or [[]]:
+    for block in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Sketches(block))
 
         def told(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -153,12 +195,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
                     found = contained([batch.column("text")[i].as_py() or "" for i in at], sketches, similarity)
                     if found:
                         docs_at = pa.array([at[d] for d, _, _ in found], pa.int64())
-                        yield pa.RecordBatch.from_arrays(
-                            [batch.column("doc_id").take(docs_at), pa.array([sketches.ids[i] for _, i, _ in found], pa.int64()), pa.array([s for _, _, s in found], pa.float64())], ["doc_id", "item_id", "containment"]
-                        )
+                        items = [None if (x := sketches.ids[i]) is None else str(x) for _, i, _ in found]
+                        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(docs_at), pa.array(items, pa.string()), pa.array([s for _, _, s in found], pa.float64())], ["doc_id", "item_id", "containment"])
 
-        more = rows.mapInArrow(told, f"doc_id {doc_type}, item_id bigint, containment double")
+        more = rows.mapInArrow(told, f"doc_id {doc_type}, item_id string, containment double")
         out = more if out is None else out.unionByName(more)
+    if out is None:
+        out = rows.limit(0).select("doc_id", F.lit("").alias("item_id"), F.lit(0.0).alias("containment"))
     return out.withColumn("item_id", F.col("item_id").cast(id_type))
 
 
@@ -176,7 +219,10 @@ def _parts(texts: pa.Array, most: int = 400_000) -> Iterator[list[int]]:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that contain a test item; all columns stay, and so do rows of null or empty text. No shuffle."""
+    """docs without those that contain a test item; all columns stay, and so do rows of null or empty text. No shuffle.
+
+    Repeated rows go or stay alike; with an empty table of items all stay, and an empty table of documents stays empty.
+    """
     out = docs
     names = docs.columns
     for block in item_blocks(benchmark):
