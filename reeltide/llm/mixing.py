@@ -6,7 +6,7 @@ the one that straddles it in part. A budget above a source's size first takes wh
 
 Scale: the text is read once, for its size; afterwards rows are narrow. Buckets are equal ranges of a uniform hash,
 about sqrt(rows) of them, so a source with a third of all rows is spread over as many tasks as any other. Only the
-list of sources (one row each) meets in a single task.
+list of sources (one row each, so a column of tens or thousands of values, not of hosts) meets in a single task.
 """
 
 from __future__ import annotations
@@ -41,10 +41,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """How many words of each document a mix takes: doc_id, source, size, source_size, target, taken.
 
     A size is the number of runs without ASCII white space; null and empty texts have 0 and take 0. Documents of a null source form
-    a source of their own, after all others. Rows with the same doc_id are separate rows; among them the order is by size, so the rows of
-    the result are the same in every run. An empty table gives an empty result. Columns other than doc_id, text and source are not read.
+    a source of their own, after all others. Rows with the same doc_id are separate rows, ordered by their text's hash too, so the rows of
+    the result are the same in every run and a repeated or null id is spread as other rows are. An empty table gives an empty result. Columns other than doc_id, text and source are not read.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
     sized = durable(
         docs.select(
             "doc_id",
@@ -80,7 +80,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_SQL = r"""
     sized AS (
         SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-               CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key
+               CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS skey, md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key
         FROM docs),
     sizes AS (SELECT skey, sum(size)::BIGINT AS source_size FROM sized GROUP BY skey),
     weighed AS (SELECT *, list_extract([5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE], (row_number() OVER (ORDER BY skey) - 1) % 3 + 1) AS weight, (source_size * 2)::DOUBLE AS most FROM sizes),
