@@ -3,7 +3,8 @@
 A logistic model over features of the text's form, fitted on a bounded sample of labelled documents, gives each document's own evidence.
 Labelled outcomes, and the model's probabilities where there is no label, are summed by host and by path; posteriors of a path are
 shrunk to those of its host, hosts to the whole, with strengths fitted by moments. The document's odds are its own evidence times the odds of its path.
-Documents without a URL have their source for a host and source and language for a path.
+The host of a document is its source, its path the pair of source and language: the tables here have no URLs; who has them gives host and path in these columns.
+A labelled document is one of those its path's rate is made of.
 
 Scale: the text is read in one map; afterwards rows are narrow, and sums by path are combined before they are shuffled. The table
 of paths is broadcast only up to a checked number of rows.
@@ -105,7 +106,7 @@ def _design(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
 def _map_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = [features(t.as_py() or "").tolist() for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(x, pa.list_(pa.float64()))], ["quality", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("quality"), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
 
 def known(labels: DataFrame) -> DataFrame:
@@ -116,7 +117,8 @@ def known(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
     """The model (means, scales, weights, share of good documents in the sample); None if the labels have not both outcomes."""
     chosen = known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_map_features, "quality int, x array<double>").collect()
+    each = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(_map_features, "doc_id string, quality int, x array<double>")
+    rows = each.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("r.*").collect()  # one an id, so at most `sample`
     rows.sort(key=lambda r: (r["quality"], r["x"]))
     y = np.array([float(r["quality"] > 0) for r in rows])
     if not rows or y.min() == y.max():
@@ -188,7 +190,10 @@ def _join(rows: DataFrame, groups: DataFrame, llr: str) -> DataFrame:
 
 
 def good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
-    """docs without those of a posterior below `keep`; all their columns, none else. The text is read twice, and never shuffled."""
+    """docs without those of a posterior below `keep`; all their columns, none else. The text is read twice, and never shuffled.
+
+    Rows with null or empty texts, null ids and repeated rows are judged as judge() does; an empty table stays empty.
+    """
     model = fit(docs, labels)
     scored = durable(with_evidence(docs, model, ["doc_id", "source", "lang"], "llr"))
     groups = paths(scored, labels, model[3] if model else 0.5)
