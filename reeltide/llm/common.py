@@ -18,10 +18,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint directory. Where spark.checkpoint.dir is unset (tests on one machine), a temporary one is set."""
+    """The session's checkpoint directory, from spark.checkpoint.dir. Where that is unset and all run on one machine, a temporary one is set; on a cluster
+    that is an error. Spark removes checkpoints that nothing refers to any more if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="reeltide-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="reeltide-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

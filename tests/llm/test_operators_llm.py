@@ -317,6 +317,10 @@ def test_next_document_wraps_and_edits(spark, odd):
         e = t[: len(t) - cut] + after[:cut]
         assert got[i].n_chars == len(t) and got[i].edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
         assert got[i].fingerprint == fingerprints.packed(fingerprints.winnow(t)) and got[i].edited_fingerprint == fingerprints.packed(fingerprints.winnow(e))
+    for i in range(101):
+        mine, edited_, after = (set(fingerprints.winnow(x)[0].tolist()) for x in (texts[i], texts[i][: len(texts[i]) - len(texts[i]) // 4] + texts[(i + 1) % 101][: len(texts[i]) // 4], texts[(i + 1) % 101]))
+        like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        assert got[i].near_edited == like(mine, edited_) and got[i].near_next == like(mine, after)
     rows = fingerprints.fingerprints(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
 
@@ -349,6 +353,49 @@ def test_quality_odd_rows(spark, odd, empty, labels):
     assert kept.columns == clash.columns and kept.count() <= len(ODD)
 
 
+def test_posteriors_against_plain_python(spark):
+    docs, labels = (common.read(spark, SF, t) for t in ("documents", "labels"))
+    got = quality.judge(docs, labels).collect()
+    known = {}
+    for r in labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").collect():
+        known[r.doc_id] = min(r.quality, known.get(r.doc_id, 9))
+    share = np.mean([known[i] > 0 for i in known if i in {r.doc_id for r in got}])
+    base = np.log(share / (1 - share))
+    leaf = {}
+    for r in got:
+        own = float(known[r.doc_id] > 0) if r.doc_id in known else 1 / (1 + np.exp(-(r.evidence + base)))
+        n = leaf.setdefault((r.source, r.lang), [0, 0.0])
+        n[0] += 1
+        n[1] += own
+    hosts = {}
+    for (source, _), (n, g) in leaf.items():
+        h = hosts.setdefault(source, [0, 0.0])
+        h[0] += n
+        h[1] += g
+
+    def strength(groups):  # [(n, good, towards)]
+        n, g = sum(x[0] for x in groups), len(groups)
+        v, u = sum(n_ * (k / n_ - t) ** 2 for n_, k, t in groups), sum(n_ * t * (1 - t) for n_, _, t in groups)
+        rho = (v / u - g / n) / (1 - g / n)
+        return 1 / min(0.9, max(0.02, rho)) - 1
+
+    whole = (sum(x[1] for x in leaf.values()) + 1) / (sum(x[0] for x in leaf.values()) + 2)
+    k = strength([(n, g, whole) for n, g in hosts.values()])
+    rate = {s: (g + k * whole) / (n + k) for s, (n, g) in hosts.items()}
+    k = strength([(n, g, rate[s]) for (s, _), (n, g) in leaf.items()])
+    for r in got:
+        n, g = leaf[r.source, r.lang]
+        path = (g + k * rate[r.source]) / (n + k)
+        assert abs(r.path_rate - path) < 1e-9 and abs(r.host_rate - rate[r.source]) < 1e-9
+        assert abs(r.posterior - 1 / (1 + np.exp(-(r.evidence + np.log(path / (1 - path)))))) < 1e-9 and r.keep == (r.posterior >= 0.5)
+
+
+def test_a_repeated_sampled_id_is_fitted_once(spark):
+    docs = [(1, "good text of it " * 20)] * 50 + [(2, "$$$ ### 123"), (3, "other text of the page " * 9)]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert abs(quality.fit(spark.createDataFrame(docs, "doc_id long, text string"), labels)[3] - 2 / 3) < 1e-9
+
+
 def test_sparse_sites_are_shrunk(spark):
     rows = [(i, float(3 if i % 4 else -3), "big", "en") for i in range(400)] + [(1000, -3.0, "small", "en")]
     scored = spark.createDataFrame([(a, b, c, d) for a, b, c, d in rows], "doc_id long, llr double, source string, lang string")
@@ -623,6 +670,19 @@ def test_new_host_has_the_posterior_of_its_domain(spark):
     assert got[5000].rate > 0.9 and got[5003].rate is None
 
 
+def test_ports_addresses_and_suffixes(spark):
+    hosts = ["a.b.co.uk", "b.co.uk", "t.co", "x.t.co", "u:p@a.b.com:8080", "10.0.0.1:80", "10.0.0.1", "[::1]:8080", "localhost", "a.gouv.fr", "shop.casino.net"]
+    rows = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("site", urlfilter.site_of(F.col("host")))
+    got = {r.host: r.d for r in rows.select("host", urlfilter.registered(F.col("site")).alias("d")).collect()}
+    assert got == dict(zip(hosts, ["b.co.uk", "b.co.uk", "t.co", "t.co", "b.com", "10.0.0.1", "10.0.0.1", "[::1]", "localhost", "a.gouv.fr", "casino.net"]))
+    pages = spark.createDataFrame([(i, f"http://{h}/{'p' * 50_000 if i == 0 else i}", 5) for i, h in enumerate([*hosts, hosts[0]])], "page_id long, url string, host int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    told = urlfilter.judge(pages, labels)
+    assert told.count() == 12 and [r.page_id for r in told.where("verdict = 'block' AND reason = 'name'").collect()] == [10]
+    assert urlfilter.judge(pages.limit(0), labels).count() == 0
+    assert urlfilter.judge(pages, labels, bad_parts=()).where("verdict = 'block'").count() == 0
+
+
 # --- 8 decontamination
 
 
@@ -651,6 +711,30 @@ def test_leaks_against_brute_force(spark):
     assert not set(got) - set(want) and len(lost) <= 0.01 * len(want) and len(want) > 50
 
 
+def test_items_of_a_common_prompt_line(spark):
+    rng, vocab = random.Random(71), vocabulary(71, 400)
+    prompt = prose(rng, vocab, 25)
+    items = [(f"i{i}", f"{prompt} {prose(rng, vocab, 12)}") for i in range(200)]
+    docs = [(i, f"{prose(rng, vocab, 200)} {items[i * 3][1] if i % 2 else prompt} {prose(rng, vocab, 100)}") for i in range(40)]
+    got = {(r.doc_id, r.item_id): r.containment for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        have = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        for i, x in items:
+            x = x.split()
+            need = {tuple(x[j : j + 5]) for j in range(len(x) - 4)}
+            if len(need & have) / len(need) >= 0.8:
+                want[d, i] = len(need & have) / len(need)
+    assert got == pytest.approx(want) and len(want) == 20
+
+
+def test_item_blocks_are_bounded(spark):
+    rows = spark.createDataFrame([(i, "x" * (10 * i)) for i in range(20)], "item_id long, text string").coalesce(1)
+    blocks = list(decontaminate.item_blocks(rows, 6, 300))
+    assert sum(map(len, blocks)) == 20 and all(len(b) <= 6 and sum(len(t) for _, t in b[:-1]) < 300 for b in blocks)
+
+
 def test_leaks_odd_rows(odd, empty, bench):
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(odd, bench).collect()}
     assert got == {(5, 1), (6, 1), (None, None)}
