@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from reeltide.llm import decontaminate, mixing, neardup, quality, secrets
-from reeltide.llm.common import read, shared_dir
+from reeltide.llm.common import durable, read, shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,7 +57,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`; what stands between them is written as Parquet in the shared folder, and removed once read."""
+    """The stages applied to `documents`; what stands between them is written as Parquet in the shared folder, and removed once read.
+
+    The last stage's rows, which are narrow, are kept as a checkpoint, so that nothing refers to the folder any more. Nulls, empty and long texts, repeated rows, empty
+    tables and further columns are each operator's to define; a stage that keeps nothing hands on an empty table.
+    """
     folder = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
@@ -65,7 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             _remove(spark, f"{folder}/{before}")
         docs, before = spark.read.parquet(f"{folder}/{name}"), name
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = durable(STAGES[-1][1](spark, docs, sf_dir))
+    _remove(spark, folder)
+    return out
 
 
 #: No SQL: the classifier, the sketches and the forest cannot be expressed in it; tests hold the stages against brute force.
