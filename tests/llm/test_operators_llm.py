@@ -872,10 +872,23 @@ def test_stretches_are_shared_out_among_windows():
 
 
 def test_places_and_reaches_of_long_texts():
-    c = np.array([5, 9_000_000, 2**31 - 2])
-    left, right = np.array([0, 8_700_000, 17]), np.array([7, 9_400_000, 2**31 - 1])
+    c = np.array([5, 9_000_000, 2**30 - 5])
+    left, right = np.array([0, 8_700_000, 2**30 - 70]), np.array([7, 9_000_100, 2**30 - 5])
     for fn in range(substrings.FUNCTIONS):
-        assert [x.tolist() for x in substrings._unpacked(substrings._placed(fn, c), substrings._reach(c, left, right))] == [[fn] * 3, c.tolist(), left.tolist(), right.tolist()]
+        packed = substrings._packed(fn, c, left, right)
+        got = [x.tolist() for x in substrings._unpacked(packed)]
+        assert got[:2] == [[fn] * 3, c.tolist()] and got[2] == [0, 9_000_000 - substrings._WIDE, 2**30 - 70] and got[3] == right.tolist()
+        assert not substrings._is_whole(packed).any()
+
+
+def test_every_stretch_is_in_its_window_when_reaches_are_cut(monkeypatch):
+    monkeypatch.setattr(substrings, "_WIDE", 63)
+    rng, n = np.random.default_rng(9), 2000
+    for s in (rng.integers(0, 2**60, n).astype(np.uint64), np.zeros(n, np.uint64), np.arange(n).astype(np.uint64)):
+        c, left, right = substrings.compact_windows(s, 0)
+        _, c, left, right = substrings._unpacked(substrings._packed(0, c, left, right))
+        size = substrings.LENGTH
+        assert all(((left <= i) & (c >= i) & (c < i + size) & (right >= i + size - 1)).any() for i in range(n - size + 1))
 
 
 def test_repeated_and_string_ids(spark):
