@@ -6,15 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: How a track's description states its channels and its bit rate.
+CHANNELS, BITRATE = r"(?i)Channels:\s*(\d+)(?:\.(\d+))?", r"(?i)Bitrate:\s*(\d+)\s*Kbps"
+
+
 def channels(info: Column) -> Column:
     """Channels: 7.1 is eight, 2 is two; 0 where nothing is stated."""
-    at = lambda i: F.coalesce(F.regexp_extract(info, r"(?i)Channels:\s*(\d+)(?:\.(\d+))?", i).try_cast("int"), F.lit(0))
+    at = lambda i: F.coalesce(F.regexp_extract(info, CHANNELS, i).try_cast("int"), F.lit(0))
     return at(1) + at(2)
 
 
 def bitrate(info: Column) -> Column:
     """Kilobits a second where stated, else 0."""
-    return F.coalesce(F.regexp_extract(info, r"(?i)Bitrate:\s*(\d+)\s*Kbps", 1).try_cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(info, BITRATE, 1).try_cast("int"), F.lit(0))
 
 
 def slug(name: Column) -> Column:
@@ -30,8 +34,8 @@ def file_safe(name: Column) -> Column:
 
 
 def without_markup(text: Column) -> Column:
-    """A cue's text without tags, its line ends as newlines, trimmed."""
-    s = F.regexp_replace(text, r"<[^>]*>", "")
+    """A cue's text without tags (a letter follows their bracket or slash, so 1 < 2 stays), its line ends as newlines, trimmed."""
+    s = F.regexp_replace(text, r"</?[A-Za-z][^>]*>", "")
     return F.regexp_replace(F.regexp_replace(s, "\r\n", "\n"), r"^\s+|\s+$", "")
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: step(state, row) -> (state, rows out); end(state) -> rows out. Rows are tuples.
 Step = Callable[[object, tuple], tuple[object, list[tuple]]]
@@ -18,17 +19,23 @@ End = Callable[[object], list[tuple]]
 
 
 def fold(df: DataFrame, keys: list[str], order: list, columns: list[str], step: Step, out: str, end: End | None = None) -> DataFrame:
-    """Every key's rows read in `order`: step gets the state (None at first) and the values of keys and `columns`; end is called after the last row of a key."""
+    """Every key's rows read in `order`: step gets the state (None at first) and the values of keys and `columns`; end is called after the last row of a key.
+
+    Values come as they are, nulls as None; rows of a null key are one group.
+    """
     names = [*keys, *columns]
     n = len(keys)
     schema = T._parse_datatype_string(out)
-    fields = schema.names
+    arrow = to_arrow_schema(schema)
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
             rows: list[tuple] = []
-            for row in batch[names].itertuples(index=False, name=None):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if row[:n] != key:
                     if key is not None and end:
                         rows += end(state)
@@ -36,30 +43,33 @@ def fold(df: DataFrame, keys: list[str], order: list, columns: list[str], step:
                 state, more = step(state, row)
                 rows += more
             if rows:
-                yield pd.DataFrame(rows, columns=fields)
+                yield told(rows)
         if key is not None and end and (rows := end(state)):
-            yield pd.DataFrame(rows, columns=fields)
+            yield told(rows)
 
     ready = df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*names)
-    return ready.mapInPandas(run, schema)
+    return ready.mapInArrow(run, schema)
 
 
-def clusters(df: DataFrame, keys: list[str], t: str, key_frame: str, carry: list[str], target: int, most: int, back: int) -> DataFrame:
-    """Cluster numbers from 0: a new one begins where the age since the cluster's own first time is `most`, or `target` at a key frame, or time runs back by `back`."""
+def clusters(df: DataFrame, keys: list[str], order: list[str], t: str, key_frame: str, carry: list[str], target: int, most: int, back: int) -> DataFrame:
+    """Cluster numbers from 0, in the order in which rows are interleaved: a new one begins where the age since the cluster's own first time is `most`, or `target`
+    at a key frame, or where time runs back by `back`. A null time stays in the open cluster."""
     types = {f.name: f.dataType.simpleString() for f in df.schema}
 
     def step(state, row):
         at, is_key = row[len(keys)], row[len(keys) + 1]
         if state is None:
             state = (0, at)
-        else:
+        elif state[1] is None:
+            state = (state[0], at)
+        elif at is not None:
             age = at - state[1]
             if age >= most or age <= -back or (is_key and age >= target):
                 state = (state[0] + 1, at)
         return state, [(*row[: len(keys)], *row[len(keys) + 2 :], state[0])]
 
     out = ", ".join(f"{c} {types[c]}" for c in [*keys, *carry]) + ", cluster bigint"
-    return fold(df, keys, [t, *carry], [t, key_frame, *carry], step, out)
+    return fold(df, keys, order, [t, key_frame, *carry], step, out)
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], flag: str, fresh: str, carry: list[str], hold: int, ease: int) -> DataFrame:
@@ -86,9 +96,11 @@ def hysteresis(df: DataFrame, keys: list[str], order: list[str], flag: str, fres
     return fold(df, keys, order, [flag, fresh, *carry], step, out)
 
 
-def tolerant_best(df: DataFrame, keys: list[str], name: str, length: str, chapters: str, items: str, tolerance: float) -> DataFrame:
+def tolerant_best(df: DataFrame, keys: list[str], name: str, length: str, chapters: str, items: str, tolerance: float, other: str | None = None) -> DataFrame:
     """Of each key the title that a scan in the order of `name` ends with: longer by more than `tolerance` wins, else more chapters, fewer items, the lower name.
 
+    `other`, a boolean column, marks titles that carry more than is asked for (3D ones where 2D is): after chapters and before items, those without it win.
+
     The comparison is not transitive, so the result is that of the scan, not of a sort.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -99,6 +111,8 @@ def tolerant_best(df: DataFrame, keys: list[str], name: str, length: str, chapte
             return a[1] > b[1]
         if a[2] != b[2]:
             return a[2] > b[2]
+        if other and bool(a[4]) != bool(b[4]):
+            return not a[4]
         if a[3] != b[3]:
             return a[3] < b[3]
         return a[0] < b[0]
@@ -108,7 +122,7 @@ def tolerant_best(df: DataFrame, keys: list[str], name: str, length: str, chapte
         return (row[:n], now if state is None or better(now, state[1]) else state[1]), []
 
     out = ", ".join(f"{c} {types[c]}" for c in [*keys, name])
-    return fold(df, keys, [name], [name, length, chapters, items], step, out, lambda s: [(*s[0], s[1][0])])
+    return fold(df, keys, [name], [name, length, chapters, items, *([other] if other else [])], step, out, lambda s: [(*s[0], s[1][0])])
 
 
 def separated_top(df: DataFrame, keys: list[str], order: list, t: str, carry: list[str], k: int, apart: int) -> DataFrame:

@@ -113,12 +113,17 @@ def best_by_language(df: DataFrame, keys: list[str], lang: str, ident: str, rank
 
 
 def fallbacks(kept: DataFrame, offered: DataFrame, keys: list[str], ident: str, rank: list[Column]) -> DataFrame:
-    """The best track not kept for each kept one of the same keys; a track is used once: the n-th kept one of a key takes the n-th best."""
-    free = offered.join(kept.select(*keys, ident), [*keys, ident], "left_anti")
+    """The best track not kept for each kept one of the same keys; a track is used once: the n-th kept one of a key takes the n-th best.
+
+    A null key is equal to a null key: tracks without a language fall back on one another.
+    """
+    taken = kept.select(*[F.col(c).alias(f"_t{i}") for i, c in enumerate([*keys, ident])])
+    free = offered.join(taken, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_t{i}")) for i, c in enumerate([*keys, ident])]), "left_anti")
     by = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     a = kept.select(*keys, F.col(ident).alias("kept_id")).withColumn("_n", by(["kept_id"]))
-    b = free.withColumn("_n", by([F.struct(*rank).desc()])).select(*keys, "_n", F.col(ident).alias("fallback_id"))
-    return a.join(b, [*keys, "_n"]).drop("_n")
+    b = free.withColumn("_m", by([F.struct(*rank).desc()])).select(*[F.col(k).alias(f"_f{i}") for i, k in enumerate(keys)], "_m", F.col(ident).alias("fallback_id"))
+    same = [F.col(k).eqNullSafe(F.col(f"_f{i}")) for i, k in enumerate(keys)]
+    return a.join(b, reduce(lambda x, y: x & y, same, F.col("_n") == F.col("_m"))).select(*keys, "kept_id", "fallback_id")
 
 
 def one_of_each(df: DataFrame, keys: list[str], roles: dict[str, Column]) -> DataFrame:

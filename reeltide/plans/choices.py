@@ -70,7 +70,8 @@ def title_rank_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def title_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return folds.tolerant_best(playlists(spark, sf_dir), ["o_custkey"], "o_orderkey", "length", "marks", "items", 10.0)
+    p = playlists(spark, sf_dir).withColumn("three_d", F.col("o_orderkey") % 3 == 0)
+    return folds.tolerant_best(p, ["o_custkey"], "o_orderkey", "length", "marks", "items", 10.0, "three_d")
 
 
 def topk_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +167,7 @@ ORACLES = {
         UNION ALL
         SELECT o.o_custkey, o.rn, CASE WHEN b THEN o.o_orderkey ELSE f.o_orderkey END, CASE WHEN b THEN o.length ELSE f.length END, CASE WHEN b THEN o.marks ELSE f.marks END, CASE WHEN b THEN o.items ELSE f.items END
         FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.rn = f.rn + 1,
-             LATERAL (SELECT CASE WHEN abs(o.length - f.length) > 10 THEN o.length > f.length WHEN o.marks <> f.marks THEN o.marks > f.marks WHEN o.items <> f.items THEN o.items < f.items ELSE o.o_orderkey < f.o_orderkey END AS b))
+             LATERAL (SELECT CASE WHEN abs(o.length - f.length) > 10 THEN o.length > f.length WHEN o.marks <> f.marks THEN o.marks > f.marks WHEN (o.o_orderkey % 3 = 0) <> (f.o_orderkey % 3 = 0) THEN o.o_orderkey % 3 <> 0 WHEN o.items <> f.items THEN o.items < f.items ELSE o.o_orderkey < f.o_orderkey END AS b))
         SELECT o_custkey, arg_max(o_orderkey, rn) AS o_orderkey FROM f GROUP BY o_custkey""",
     "topk_exists": f"""WITH {_P}, k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY length DESC, o_orderkey)::INT AS place FROM p)
         SELECT o_custkey, o_orderkey, place FROM k WHERE place <= 5 AND EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o_orderkey AND l_returnflag = 'R')""",

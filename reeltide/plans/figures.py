@@ -144,7 +144,7 @@ ORACLES = {
     "channels_regex": "SELECT doc_id, (doc_id % 8 + CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::INT AS channels, n_chars::INT AS kbps FROM documents",
     "clock_format": """SELECT event_id, printf('%d:%02d:%02d.%03d', ms // 3600000, ms % 3600000 // 60000, ms % 60000 // 1000, ms % 1000) AS clock, ms AS back FROM (SELECT event_id, epoch_us(ts) // 1000 % 100000000 AS ms FROM events)""",
     "ticks": "SELECT event_id, (epoch_us(ts) % 4000000000)::HUGEINT * 1000000000 // 45000 AS ns45, (epoch_us(ts) % 4000000000)::HUGEINT * 1000000000 // 90000 AS ns90 FROM events",
-    "plain_text": r"SELECT page_id, regexp_replace(replace(regexp_replace(html, '<[^>]*>', '', 'g'), chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM pages",
+    "plain_text": r"SELECT page_id, regexp_replace(replace(regexp_replace(html, '<(/[A-Za-z]|[A-Za-z])[^>]*>', '', 'g'), chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g') AS text FROM pages",
     "rates": """WITH r(num, den) AS (VALUES (24000, 1001), (24, 1), (25, 1), (30000, 1001), (30, 1), (48, 1), (50, 1), (60000, 1001), (60, 1), (100, 1), (120000, 1001), (120, 1)),
         e AS (SELECT event_id, floor(value * 100000)::BIGINT + 8000000 AS ns FROM events), x AS (SELECT event_id, num, den, abs(1e9::DOUBLE / ns - num / den) / (num / den) AS off FROM e, r)
         SELECT event_id, arg_min(num, off) AS num, arg_min(den, off) AS den FROM x WHERE off < 0.002 GROUP BY event_id""",

@@ -34,7 +34,8 @@ def reorder_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cluster_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).withColumn("key", F.col("event_type") == "purchase")
-    return folds.clusters(e, KEY, "t", "key", ["event_id"], 12 * HOUR, 48 * HOUR, HOUR)
+    e = e.withColumn("arrived", F.col("t") + F.pmod(F.col("event_id"), F.lit(3)) * 2 * HOUR)  # so that time runs back now and then
+    return folds.clusters(e, KEY, ["arrived", "event_id"], "t", "key", ["event_id"], 12 * HOUR, 48 * HOUR, HOUR)
 
 
 def overlap_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +144,7 @@ ORACLES = {
         SELECT user_id, t - copy * 1800000000 AS t, event_id, copy::INT AS copy FROM (SELECT *, unnest(generate_series(0, missing)) AS copy FROM m)""",
     "reorder_display": f"""WITH {_E}, c AS (SELECT *, sum((event_type = 'signup')::INT) OVER {_UP} AS cvs FROM e)
         SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY cvs, value, t, event_id) - 1 AS display FROM c""",
-    "cluster_ids": f"""WITH RECURSIVE {_N}, f AS (
+    "cluster_ids": f"""WITH RECURSIVE {_E}, n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t + event_id % 3 * 7200000000, event_id) AS rn FROM e), f AS (
         SELECT user_id, event_id, rn, t AS begun, 0::BIGINT AS cluster FROM n WHERE rn = 1
         UNION ALL
         SELECT n.user_id, n.event_id, n.rn, CASE WHEN c THEN n.t ELSE begun END, cluster + c::INT

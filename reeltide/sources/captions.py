@@ -22,13 +22,18 @@ def texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def arrow_cues(df: DataFrame) -> DataFrame:
-    """(file, text) of SRT or WebVTT -> file, ord, begin, finish, cue: one row a block with a time line; notes, styles and headers have none."""
-    blocks = df.select("file", F.posexplode(F.split("text", r"\n[ \t]*\n+")).alias("ord", "block"))
-    lines = F.filter(F.split(F.trim("block"), "\n"), lambda l: l.rlike(ARROW))
+    """(file, text) of SRT or WebVTT -> file, ord, begin, finish, cue: one row a block with a time line; notes, styles and headers have none.
+
+    In WebVTT (a text that says so in its first line) the time line is the first of a block, or the second after an id. Cues that do not end after they begin are none.
+    """
+    vtt = F.col("text").startswith("WEBVTT")
+    blocks = df.select("file", vtt.alias("vtt"), F.posexplode(F.split("text", r"\n[ \t]*\n+")).alias("ord", "block"))
+    every = F.split(F.regexp_replace("block", r"^\s+|\s+$", ""), "\n")
+    lines = F.filter(F.when(F.col("vtt"), F.slice(every, 1, 2)).otherwise(every), lambda l: l.rlike(ARROW))
     b = blocks.where(~F.ltrim("block").rlike("^(NOTE|STYLE|REGION)")).withColumn("line", F.try_element_at(lines, F.lit(1))).where("line IS NOT NULL")
     body = F.call_function("substring_index", F.col("block"), F.col("line"), F.lit(-1))
     b = b.select("file", "ord", _ms(F.col("line"), 1).alias("begin"), _ms(F.col("line"), 5).alias("finish"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("cue"))
-    return b.where("cue <> ''")
+    return b.where("cue <> '' AND finish > begin")
 
 
 def ass_cues(df: DataFrame) -> DataFrame:
@@ -41,7 +46,7 @@ def ass_cues(df: DataFrame) -> DataFrame:
     field = lambda name: F.trim(F.try_element_at("parts", F.array_position("form", name).cast("int")))
     time = lambda name: F.regexp_extract(field(name), r"(\d+):(\d+):(\d+)\.(\d+)", 1).cast("int") * 3_600_000 + F.regexp_extract(field(name), r"(\d+):(\d+):(\d+)\.(\d+)", 2).cast("int") * 60_000 + F.regexp_extract(field(name), r"(\d+):(\d+):(\d+)\.(\d+)", 3).cast("int") * 1000 + F.rpad(F.regexp_extract(field(name), r"(\d+):(\d+):(\d+)\.(\d+)", 4), 3, "0").cast("int")
     cue = F.array_join(F.slice("parts", n, F.greatest(F.size("parts") - n + 1, F.lit(1))), ",")
-    return d.where(F.size("parts") >= n).select("file", "ord", time("start").alias("begin"), time("end").alias("finish"), field("style").alias("style"), cue.alias("cue"))
+    return d.where(F.size("parts") >= n).select("file", "ord", time("start").alias("begin"), time("end").alias("finish"), field("style").alias("style"), cue.alias("cue")).where("finish > begin")
 
 
 def shots(df: DataFrame) -> DataFrame:

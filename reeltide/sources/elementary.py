@@ -50,12 +50,14 @@ def unescaped(unit: bytes) -> bytes:
 
 
 def starts_unit(unit: bytes, slices_before: bool) -> bool:
-    """Whether an H.264 NAL unit begins a new access unit, given whether one with a slice is open."""
+    """Whether an H.264 NAL unit, of a base or a dependent view's stream, begins a new access unit, given whether one with a slice is open."""
     kind = unit[0] & 31
     if not slices_before:
         return False
     if kind in (1, 5):
         return len(unit) > 1 and bool(unit[1] & 0x80)  # first_mb_in_slice is 0
+    if kind == 20:  # a dependent view's slice has three more bytes of header
+        return len(unit) > 4 and bool(unit[4] & 0x80)
     return kind in (6, 7, 8, 9, 14, 15, 16, 17, 18)
 
 
@@ -66,14 +68,14 @@ def read_units(b: bytes) -> Iterator[tuple]:
 
     def told() -> tuple:
         data = b"".join(b"\0\0\0\1" + u for u in held)
-        return order, any(u[0] & 31 == 5 for u in held), len(data), len(held), data
+        return order, any(u[0] & 31 == 5 or (u[0] & 31 == 20 and len(u) > 1 and not u[1] & 0x40) for u in held), len(data), len(held), data
 
     for unit in split_units(b):
         if starts_unit(unit, slices):
             yield told()
             held, slices, order = [], False, order + 1
         held.append(unit)
-        slices = slices or unit[0] & 31 in (1, 5)
+        slices = slices or unit[0] & 31 in (1, 5, 20)
     if held:
         yield told()
 

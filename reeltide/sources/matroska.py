@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from reeltide.sources.bits import Missing
+
 TRACKS = "track int, type string, codec string, lang string, name string, forced boolean, is_default boolean, width int, height int, channels int, rate double, default_duration bigint"
 FRAMES = "track int, ord bigint, pts bigint, duration bigint, keyframe boolean, data binary"
 CHAPTERS = "ord int, at bigint"
@@ -17,11 +19,13 @@ KINDS = {1: "video", 2: "audio", 17: "subtitles"}
 
 def vint(b: bytes, at: int, keep: bool = False) -> tuple[int | None, int]:
     """(value, length) of a variable-length number; None where all its bits are set (unknown) and it is no id."""
-    if at >= len(b) or b[at] == 0:
+    if at >= len(b):
+        raise Missing(at, 1)
+    if b[at] == 0:
         raise ValueError("bad number")
     n = 9 - b[at].bit_length()
     if at + n > len(b):
-        raise ValueError("bad number")
+        raise Missing(at, n)
     v = int.from_bytes(b[at : at + n], "big")
     if keep:
         return v, n
@@ -30,15 +34,22 @@ def vint(b: bytes, at: int, keep: bool = False) -> tuple[int | None, int]:
 
 
 def elements(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
-    """(id, begin, end) of the elements between two places; one of unknown length goes on to the end."""
+    """(id, begin, end) of the elements between two places; one of unknown length goes on to the end.
+
+    Zeros up to the end are padding. An element that says it goes on where the input has ended is an error that tells which bytes are missing; so is one that
+    goes on beyond its parent.
+    """
     while at < end:
-        try:
-            ident, n = vint(b, at, keep=True)
-            size, m = vint(b, at + n)
-        except ValueError:
+        if b[at] == 0 and not any(b[at:end]):
             return
+        ident, n = vint(b, at, keep=True)
+        size, m = vint(b, at + n)
         begin = at + n + m
-        stop = end if size is None else min(end, begin + size)
+        stop = end if size is None else begin + size
+        if stop > len(b):
+            raise Missing(len(b), stop - len(b))
+        if stop > end:
+            raise ValueError(f"an element at {at} goes on beyond its parent")
         yield ident, begin, stop
         at = stop
 
@@ -54,9 +65,13 @@ def _float(b: bytes, i: int, j: int) -> float:
 
 
 def _segment(b: bytes) -> Iterator[tuple[int, int, int]]:
+    found = False
     for ident, i, j in elements(b, 0, len(b)):
         if ident == SEGMENT:
+            found = True
             yield from _flat(b, i, j)
+    if not found:
+        raise Missing(len(b), 1)
 
 
 def _flat(b: bytes, i: int, j: int) -> Iterator[tuple[int, int, int]]:

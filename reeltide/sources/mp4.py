@@ -65,6 +65,32 @@ def _table(b: bytes, t: dict, kind: bytes, width: int, skip: int = 4) -> list[tu
     return [tuple(c.uint(4) for _ in range(width)) for _ in range(c.uint(4))]
 
 
+def _movie_scale(b: bytes) -> int:
+    """Ticks a second of the movie's own clock; 0 where it has no header."""
+    for kind, x, _ in boxes(b, *movie(b)):
+        if kind == b"mvhd":
+            return int.from_bytes(b[x + (20 if b[x] == 1 else 12) :][:4], "big")
+    return 0
+
+
+def edit_shift(b: bytes, t: dict, movie_scale: int) -> int:
+    """Ticks to add to a track's times: empty edits at its beginning delay it, the first other one skips into it."""
+    if b"elst" not in t:
+        return 0
+    c = Cursor(b, *t[b"elst"][0])
+    size = 8 if c.uint(1) == 1 else 4
+    c.take(3)
+    delay = 0
+    for _ in range(c.uint(4)):
+        length, at = c.uint(size), c.uint(size)
+        c.take(4)
+        if at == (1 << (8 * size)) - 1:  # minus one: an empty edit
+            delay += length * _media(b, t)[0] // movie_scale if movie_scale else 0
+        else:
+            return delay - (at - (1 << (8 * size)) if at >> (8 * size - 1) else at)
+    return delay
+
+
 def _media(b: bytes, t: dict) -> tuple[int, int, str]:
     c = Cursor(b, *t[b"mdhd"][0])
     wide = c.uint(1) == 1
@@ -74,7 +100,8 @@ def _media(b: bytes, t: dict) -> tuple[int, int, str]:
 
 
 def read_samples(b: bytes) -> Iterator[tuple]:
-    """Every track's samples: run-length tables of sizes, times, chunks and sync points expanded. Times are in the track's timescale."""
+    """Every track's samples: run-length tables of sizes, times, chunks and sync points expanded. Times are in the track's timescale, as its edits shift them."""
+    scale = _movie_scale(b)
     for track, t in _traks(b):
         c = Cursor(b, *t[b"stsz"][0])
         c.take(4)
@@ -90,7 +117,7 @@ def read_samples(b: bytes) -> Iterator[tuple]:
         else:
             chunks = [o for (o,) in _table(b, t, b"stco", 1)]
         runs = [*_table(b, t, b"stsc", 3), (len(chunks) + 1, 0, 0)]
-        i, dts = 0, 0
+        i, dts = 0, edit_shift(b, t, scale)
         for (first, per, _), (following, _, _) in zip(runs, runs[1:], strict=False):
             for chunk in range(first, following):
                 at = chunks[chunk - 1]

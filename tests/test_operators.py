@@ -69,17 +69,41 @@ def test_clusters_restart_from_their_own_first_row(spark):
     rng = random.Random(3)
     data = [(k, rng.randrange(0, 2000), rng.random() < 0.3, i) for i, k in enumerate([1, 2] * 200)]
     df = spark.createDataFrame(data, "k int, t long, key boolean, i int")
-    got = {r.i: r.cluster for r in folds.clusters(df, ["k"], "t", "key", ["i"], 60, 150, 30).collect()}
+    got = {r.i: r.cluster for r in folds.clusters(df, ["k"], ["i"], "t", "key", ["i"], 60, 150, 30).collect()}
     want = {}
     for k in (1, 2):
         start = None
-        for _, t, key, i in sorted((d for d in data if d[0] == k), key=lambda d: (d[1], d[3])):
+        for _, t, key, i in (d for d in data if d[0] == k):
             if start is None:
                 n, start = 0, t
-            elif t - start >= 150 or (key and t - start >= 60):
+            elif t - start >= 150 or t - start <= -30 or (key and t - start >= 60):
                 n, start = n + 1, t
             want[i] = n
-    assert got == want
+    assert got == want and any(b[1] < a[1] for a, b in zip(data[::2], data[2::2]))
+
+
+def test_folds_take_nulls_as_they_are(spark):
+    df = spark.createDataFrame([(None, 0, False, 0), (None, 100, False, 1), (None, 160, True, 2), (None, None, True, 3), (None, 400, False, 4), (2**60 + 1, 5, None, 5), (2**60 + 1, 500, True, 6)], "k long, t long, key boolean, i int")
+    got = {r.i: (r.k, r.cluster) for r in folds.clusters(df, ["k"], ["i"], "t", "key", ["i"], 150, 300, 30).collect()}
+    assert got == {0: (None, 0), 1: (None, 0), 2: (None, 1), 3: (None, 1), 4: (None, 1), 5: (2**60 + 1, 0), 6: (2**60 + 1, 1)}
+
+
+def test_lookups_keep_rows_with_nulls(spark):
+    left = spark.createDataFrame([(1, 10, None, "a"), (1, 50, 3, None), (None, 10, None, None), (1, None, None, "z")], "k int, t long, x int, s string")
+    near = spark.createDataFrame([(1, 12, 7), (None, 10, 9), (1, 48, None)], "k int, t long, n int")
+    got = sorted(rows(asof.nearest(left, near, ["k"], "t", 5, {"n": "n"}).select("t", "s", "n")), key=str)
+    assert got == sorted([(10, "a", 7), (50, None, None), (10, None, None), (None, "z", None)], key=str)
+    spans = spark.createDataFrame([(1, 0, 100, 7), (1, 5, 0, 2), (1, 9, 11, 9)], "k int, a long, b long, line int")
+    got = sorted(rows(asof.interval_last(left, spans, ["k"], "t", "a", "b", "line", 4).select("t", "s", "line")), key=str)
+    assert got == sorted([(10, "a", 9), (50, None, 7), (10, None, None), (None, "z", None)], key=str)
+
+
+def test_spans_of_all_lengths_against_brute_force(spark):
+    rng = random.Random(19)
+    spans = [(1, a := rng.randrange(0, 5000), a + rng.choice([1, 3, 40, 700, 4000]) if rng.random() < 0.9 else 0, i) for i in range(120)]
+    points = [(1, t) for t in rng.sample(range(6000), 300)]
+    got = {r.t: r.line for r in asof.interval_last(spark.createDataFrame(points, "k int, t long"), spark.createDataFrame(spans, "k int, a long, b long, line int"), ["k"], "t", "a", "b", "line", 10).collect()}
+    assert got == {t: max((i for _, a, b, i in spans if a <= t and (b == 0 or t < b)), default=None) for _, t in points}
 
 
 def test_hysteresis(spark):
@@ -110,6 +134,13 @@ def test_title_scan_is_not_a_sort(spark):
     assert rows(folds.tolerant_best(df, ["k"], "name", "length", "chapters", "items", 10.0)) == [(1, "00003")]
 
 
+def test_a_flat_title_is_taken_before_one_of_the_same_film_in_3d(spark):
+    data = [(1, "00001", 100.0, 5, 1, True), (1, "00002", 100.5, 5, 3, False), (1, "00003", 100.0, 4, 1, False)]
+    df = spark.createDataFrame(data, "k int, name string, length double, chapters int, items int, both boolean")
+    pick = lambda other: rows(folds.tolerant_best(df, ["k"], "name", "length", "chapters", "items", 1.0, other))
+    assert pick("both") == [(1, "00002")] and pick(None) == [(1, "00001")]
+
+
 def test_element_ranks_at_the_edges(spark):
     for n in (1, 99, 100, 101):
         df = spark.createDataFrame([(1, float(i)) for i in range(n)], "k int, v double")
@@ -129,6 +160,12 @@ def test_fallbacks_are_used_once(spark):
     assert sorted(rows(selection.fallbacks(kept, offered, ["k"], "id", [F.col("q")]).select("kept_id", "fallback_id"))) == [(10, 21), (11, 20)]
 
 
+def test_tracks_without_a_language_fall_back_on_one_another(spark):
+    kept = spark.createDataFrame([(1, None, 10), (1, "eng", 11)], "k int, lang string, id int")
+    offered = spark.createDataFrame([(1, None, 10, 9), (1, None, 20, 5), (1, "fra", 21, 7)], "k int, lang string, id int, q int")
+    assert rows(selection.fallbacks(kept, offered, ["k", "lang"], "id", [F.col("q")])) == [(1, None, 10, 20)]
+
+
 def test_guard_fails_on_an_empty_choice(spark):
     df = spark.createDataFrame([(1, "eng"), (2, "fra")], "k int, lang string")
     keep = selection.language(F.col("lang")) == "eng"
@@ -170,6 +207,7 @@ def test_text_rules(spark):
     one = spark.range(1)
     pick = lambda c: one.select(c).first()[0]
     assert pick(text.without_overrides(F.lit("0,0,Default,,0,0,0,,{\\i1}Hi, all{\\i0}\\Nthere"))) == "Hi, all\nthere"
+    assert pick(text.without_markup(F.lit("<i>1 < 2</i> and 3 > 2 <b class=x>now</b>\r\n"))) == "1 < 2 and 3 > 2 now"
     assert pick(text.slug(F.lit("TrueHD Atmos"))) == "TrueHD-Atmos"
     assert pick(text.with_details(F.lit("/a/Film 3D FSBS.mkv"), F.lit("3D FSBS 1080p"))) == "/a/Film 3D FSBS 1080p.mkv"
     assert pick(text.parse_list(F.lit(" a, ,b,"))) == ["a", "b"]

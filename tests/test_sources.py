@@ -172,6 +172,18 @@ def test_matroska():
     assert list(matroska.read_chapters(data)) == [(0, 0), (1, 9)]
 
 
+def test_every_prefix_of_matroska_says_what_is_missing():
+    from reeltide.sources.bits import Missing
+
+    data = matroska_bytes()
+    whole = list(matroska.read_frames(data))
+    for n in range(5, len(data)):
+        with pytest.raises(Missing) as e:
+            list(matroska.read_frames(data[:n]))
+        assert e.value.offset + e.value.length <= len(data) or e.value.offset == n
+    assert list(matroska.read_frames(data + b"\0" * 9)) == whole
+
+
 # --- MP4
 
 
@@ -202,6 +214,21 @@ def test_mp4():
             list(mp4.read_samples(data[:n]))
 
 
+def test_edit_lists_shift_times():
+    def with_edits(rows, version=0):
+        w = 8 if version else 4
+        elst = box(b"elst", bytes([version, 0, 0, 0]) + u(len(rows), 4) + b"".join(u(d, w) + u(m % (1 << 8 * w), w) + u(1 << 16, 4) for d, m in rows))
+        data = mp4_bytes()
+        trak = data[data.index(b"trak") + 4 : data.index(b"mdat") - 4]
+        mvhd = box(b"mvhd", u(0, 4) + u(0, 8) + u(1000, 4) + b"\0" * 80)
+        return box(b"ftyp", b"isom") + box(b"moov", mvhd + box(b"trak", trak + box(b"edts", elst)))
+
+    plain = [(r[4], r[5]) for r in mp4.read_samples(mp4_bytes())]
+    for version in (0, 1):
+        for rows, shift in (([(500, -1), (9, 0)], 300), ([(9, 100)], -100), ([(500, -1), (9, 40), (9, 7)], 260), ([], 0)):
+            assert [(r[4], r[5]) for r in mp4.read_samples(with_edits(rows, version))] == [(d + shift, c + shift) for d, c in plain]
+
+
 # --- elementary streams
 
 
@@ -217,6 +244,23 @@ def test_units_and_captions():
     assert elementary.caption_pixels(b"\5\0\x83\7\0\0" + b"\0\x02\0\0", 5, 3) == b"\5\7\7\7\0" + b"\0" * 10
 
 
+def test_units_of_a_dependent_view():
+    units = [b"\x6fsps", b"\x68pps"] + [b"\x74" + bytes([0x80 | (0x40 if i else 0)]) + b"\0\0" + x for i in range(5) for x in (b"\x88first", b"\x08more")]
+    got = [(r[0], r[1], r[3]) for r in elementary.read_units(b"".join(b"\0\0\0\1" + x for x in units))]
+    assert got == [(0, True, 4), *[(i, False, 2) for i in range(1, 5)]]
+
+
+def test_cues_that_show_nothing_are_none(spark):
+    from reeltide.sources import captions
+
+    srt = "1\n00:00:01,000 --> 00:00:02,000\nA\n\n2\n00:00:03,000 --> 00:00:03,000\nB\n\nx\ny\nz\n00:00:05,000 --> 00:00:06,000\nC"
+    ass = "[Events]\nFormat: Start, End, Style, Text\nDialogue: 0:00:01.00,0:00:02.00,S,one, two\nDialogue: 0:00:03.00,0:00:02.00,S,back"
+    df = spark.createDataFrame([("s", srt), ("v", "WEBVTT\n\n" + srt.replace(",", "."))], "file string, text string")
+    got = {(r.file, r.begin, r.cue) for r in captions.arrow_cues(df).collect()}
+    assert got == {("s", 1000, "A"), ("s", 5000, "C"), ("v", 1000, "A")}
+    assert [(r.begin, r.finish, r.cue) for r in captions.ass_cues(spark.createDataFrame([("a", ass)], "file string, text string")).collect()] == [(1000, 2000, "one, two")]
+
+
 def test_headers_and_pictures():
     assert list(elementary.parse_ac3(b"\x0b\x77\0\0\x1e\x40\xe1\0")) == [("ac3", 6, 48000, 448)]
     assert list(elementary.parse_lpcm(b"\0\0\x91\x40")) == [("lpcm", 6, 48000, 4608)]
