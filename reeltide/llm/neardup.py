@@ -7,7 +7,7 @@ components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
 text, the one that most sketches agree on), never all pairs. Texts of a bucket that are still in different classes are then compared along chains,
-ordered by another sketch each time, until a round finds no new link. What is left, every pair that shares a sketch and is still in different
+ordered by another sketch each time, until a round finds no new link by shingles; this only saves work, no link depends on it. What is left, every pair that shares a sketch and is still in different
 classes, is compared at last: buckets are cut into blocks, and of a pair of blocks those pairs go on whose counts of words and shingles by bins allow a
 link, which no linked pair fails. Texts move once to be turned into word numbers, of candidates only afterwards.
 Hot texts of stars are joined as one row a key against many, which AQE splits.
@@ -343,6 +343,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         found = more.where("ok").join(fresh, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
         labels, tested, turn = follow(labels, components(found)), tested.unionByName(more), turn + 1
+        if more.where("strong").isEmpty():  # another round costs more than it saves; what it would find, the comparison of all that is left finds
+            break
 
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = _verify(durable_in_loop(_remaining(shared, labels, numbers).join(done, ["x", "y"], "left_anti")), numbers).where("ok")
