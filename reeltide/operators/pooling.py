@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reeltide.operators.measures import element_at_rank
+
 
 def pool(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """Mean, harmonic mean of (x+1) less 1, minimum and the element at n div 100 of the sorted values.
 
-    The low element is an element, not an interpolated percentile. It comes from the exact
-    ranks of distinct values (value, count), so a group never has to fit in one array: values are
-    counted with map-side combine and only the group's running counts are ordered.
-    Nulls are left out; a group of nulls only gives no row.
+    The low element is an element, not an interpolated percentile; it is found between approximate bounds, so neither a group's values nor its running counts
+    meet in one task. Nulls are left out; a group of nulls only gives no row.
     """
-    from pyspark.sql import Window
-
     v = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
-    counts = v.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy(*keys)
-    upto = F.sum("_c").over(by.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumns({"_upto": upto, "_n": F.sum("_c").over(by)})
-    at = F.floor(F.col("_n") / 100) + 1
-    return ranked.groupBy(*keys).agg(
-        F.sum("_c").alias("n"),
-        F.round(F.sum(F.col("_v") * F.col("_c")) / F.sum("_c"), 6).alias("mean"),
-        F.round(F.sum("_c") / F.sum(F.col("_c") / (F.col("_v") + 1)) - 1, 6).alias("harmonic"),
+    means = v.groupBy(*keys).agg(
+        F.round(F.avg("_v"), 6).alias("mean"),
+        F.round(F.count(F.lit(1)) / F.sum(1 / (F.col("_v") + 1)) - 1, 6).alias("harmonic"),
         F.min("_v").alias("lowest"),
-        F.min(F.when(F.col("_upto") >= at, F.col("_v"))).alias("p1"),
     )
+    low = element_at_rank(v, keys, "_v", F.floor(F.col("n") / 100), "p1", near=0.01)
+    low = low.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "n", "p1")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return means.join(low, same).select(*keys, "n", "mean", "harmonic", "lowest", "p1")

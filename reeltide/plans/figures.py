@@ -16,7 +16,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worst_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The element 1 % from the worst end where high is bad."""
-    return measures.element_at_rank(events(spark, sf_dir), ["event_type"], "value", F.col("n") - 1 - F.floor(F.col("n") / 100), "p1")
+    return measures.element_at_rank(events(spark, sf_dir), ["event_type"], "value", F.col("n") - 1 - F.floor(F.col("n") / 100), "p1", near=0.99)
 
 
 def indexed_median(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,6 +148,19 @@ def test_element_ranks_at_the_edges(spark):
         assert (got.n, got.p1) == (n, float(n // 100))
 
 
+def test_ranks_between_bounds_are_those_of_a_sort(spark, monkeypatch):
+    rng = random.Random(23)
+    data = [(k, rng.choice([rng.random(), float(rng.randrange(5)), None])) for k, n in ((1, 9000), (2, 150), (None, 5000), (3, 1)) for _ in range(n)] + [(4, 7.0)] * 6000
+    df = spark.createDataFrame(data, "k int, v double").repartition(7)
+    for place, near, at in ((F.floor(F.col("n") / 100), 0.01, lambda n: n // 100), (F.col("n") - 1 - F.floor(F.col("n") / 100), 0.99, lambda n: n - 1 - n // 100), (F.floor(F.col("n") / 2), 0.5, lambda n: n // 2)):
+        for groups in (0, 100_000):
+            monkeypatch.setattr(measures, "GROUPS", groups)
+            got = {r.k: (r.n, r.x) for r in measures.element_at_rank(df, ["k"], "v", place, "x", near).collect()}
+            for k in {d[0] for d in data}:
+                vs = sorted(v for g, v in data if g == k and v is not None)
+                assert not vs or got[k] == (len(vs), vs[at(len(vs))])
+
+
 def test_trim_item_wholly_outside(spark):
     df = spark.createDataFrame([(1, i, 10) for i in range(4)], "k int, i int, length long")
     got = [(r.low, r.high, r.offset) for r in timeline.trimmed(df, ["k"], ["i"], "length", 12, 20).orderBy("i").collect()]
