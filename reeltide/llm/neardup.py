@@ -6,8 +6,8 @@ similarity of their shingles is SIMILARITY or more, or if at least ALIGNED of th
 components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
-text, the one that most sketches agree on), never all pairs. Texts of a bucket that are still in different classes are then compared along chains,
-ordered by another sketch each time, until a round finds no new link by shingles; this only saves work, no link depends on it. What is left, every pair that shares a sketch and is still in different
+text, the one that most sketches agree on), never all pairs. Then one text of each class in a bucket is compared with one of a centre, another class each time,
+until a round finds no new link by shingles; this only saves work, no link depends on it. What is left, every pair that shares a sketch and is still in different
 classes, is compared at last: buckets are cut into blocks, and of a pair of blocks those pairs go on whose counts of words and shingles by bins allow a
 link, which no linked pair fails. Texts move once to be turned into word numbers, of candidates only afterwards.
 Hot texts of stars are joined as one row a key against many, which AQE splits.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reeltide.llm.common import durable, durable_in_loop, neighbours, read, release, root_buckets
+from reeltide.llm.common import durable, durable_in_loop, read, release
 from reeltide.llm.components import components, flattened, follow
 from reeltide.llm.kernels import codepoints, mixed, multipliers, occurrences, shingles, words
 
@@ -125,6 +125,22 @@ def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
 
 
+def _centred(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """(x, y, root, centre): a text of each class in a bucket and one of the bucket's centre, the class that is first by a hash of the round.
+
+    A class has one pair with a centre, however many buckets they share. Centres are before their classes in the hash's order, so that links to one
+    centre a class are a forest.
+    """
+    now = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    some = now.groupBy("sketch", "root").agg(F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("h"), "tid")).alias("m")).select("sketch", "root", "m.tid")
+    first = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "tid")).alias("c")
+    centres = some.groupBy("sketch").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch", "c")
+    met = some.join(centres, "sketch").where("root <> c.root")
+    ends = F.struct(F.least("tid", "c.tid").alias("x"), F.greatest("tid", "c.tid").alias("y"))
+    one = met.groupBy("root", F.struct("c.h", "c.root").alias("centre")).agg(F.min(ends).alias("ends"))
+    return one.select("ends.x", "ends.y", "root", "centre")
+
+
 def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
     """(x, y) of all texts that share a sketch, are of different classes and may be linked.
 
@@ -325,24 +341,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     release(docs.sparkSession)  # the shuffled texts
     tested = _verify(pairs, numbers)
     labels = flattened(tested.where("ok").select(F.col("y").alias("node"), F.col("x").alias("root")))  # stars: x is less than y, one x a y
-    salts, turn = root_buckets(texts.count()), 0
+    turn = 0
     while True:
-        now = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-        now = now.join(texts.select("tid", F.get("sketches", F.lit(turn % SKETCHES)).alias("own")), "tid")
-        order = F.struct("own", F.xxhash64("tid", F.lit(turn)).alias("h"))  # texts that also share another sketch come together
-        some = now.groupBy("sketch", "root").agg(F.min(F.struct(order.alias("o"), "tid")).alias("m")).select("sketch", "root", "m.o", "m.tid")
-        several = some.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch")
-        chain = neighbours(some.join(several, "sketch"), ["sketch"], ["o"], ["tid", "root"], salts, F.xxhash64("tid"), reach=2)
-        ends = (F.least("x_tid", "y_tid").alias("x"), F.greatest("x_tid", "y_tid").alias("y"))
-        roots = (F.least("x_root", "y_root").alias("a"), F.greatest("x_root", "y_root").alias("b"))
-        done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        fresh = durable_in_loop(chain.select(*ends, *roots).dropDuplicates(["x", "y"]).join(done, ["x", "y"], "left_anti"))
+        fresh = durable_in_loop(_centred(shared, labels, turn))
         more = _verify(fresh.select("x", "y"), numbers)
         release(docs.sparkSession)
         if more.where("ok").isEmpty():
             break
-        found = more.where("ok").join(fresh, ["x", "y"]).select(F.col("a").alias("x"), F.col("b").alias("y"))
-        labels, tested, turn = follow(labels, components(found)), tested.unionByName(more), turn + 1
+        up = more.where("ok").join(fresh, ["x", "y"]).groupBy("root").agg(F.min("centre").alias("centre"))
+        up = flattened(durable_in_loop(up.select(F.col("root").alias("node"), F.col("centre.root").alias("root"))))
+        labels, tested, turn = follow(labels, up), tested.unionByName(more), turn + 1
         if more.where("strong").isEmpty():  # another round costs more than it saves; what it would find, the comparison of all that is left finds
             break
 
