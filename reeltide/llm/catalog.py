@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.llm import convtrie, decontaminate, fingerprints, htmltext, langid, mixing, neardup, quality, secrets, substrings, tokencount, urlfilter
+from reeltide.llm import convtrie, decontaminate, divergence, fingerprints, htmltext, langid, mixing, neardup, quality, secrets, substrings, tokencount, urlfilter
 
-MODULES = (mixing, htmltext, fingerprints, quality, secrets, urlfilter, decontaminate, langid, neardup, substrings, convtrie, tokencount)
+MODULES = (mixing, htmltext, fingerprints, quality, secrets, urlfilter, decontaminate, langid, neardup, substrings, convtrie, tokencount, divergence)
 
 
 def queries() -> dict:
