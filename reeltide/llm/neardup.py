@@ -6,11 +6,10 @@ similarity of their shingles is SIMILARITY or more, or if at least ALIGNED of th
 components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
-text, the one that most sketches agree on), never all pairs. Then one text of each class in a bucket is compared with one of a centre, another class each time,
-until a round finds no new link by shingles; this only saves work, no link depends on it. What is left, every pair that shares a sketch and is still in different
-classes, is compared at last: buckets are cut into blocks, and of a pair of blocks those pairs go on whose counts of words and shingles by bins allow a
-link, which no linked pair fails. Texts move once to be turned into word numbers, of candidates only afterwards.
-Hot texts of stars are joined as one row a key against many, which AQE splits.
+text, the one that most sketches agree on), never all pairs; then one text of each class with one of a centre. This only saves work, no link depends on it. What is left are texts in buckets that still hold several classes.
+They meet by an exact prefix filter: a text's shingles, and its words with their occurrence numbers, are ordered from rare to frequent (by counts of hashed SLOTS over these texts), and two texts can only be linked if they share one of the rarest fifth of their
+shingles or the rarest tenth of their words, at places that leave room for the overlap asked for. Texts of a template share its frequent shingles, not rare ones, so their pairs never become rows. Texts move once to be turned into word numbers, of candidates only afterwards.
+Hot texts of stars, and hot shingles, are joined as one row a key against many, which AQE splits.
 """
 
 from __future__ import annotations
@@ -36,8 +35,10 @@ ALIGNED = 0.9
 DIRECT = 4096
 #: Sketches of so many shingles are made at once.
 PIECE = 1 << 15
-#: Bins of words and of distinct shingles, counts that stand for any number, and texts of a block.
-WORD_BINS, SHINGLE_BINS, FULL, BLOCK = 64, 128, 65535, 64
+#: Counters of shingles and words by hash, one table of 4 MB. Any counts give a right order; true ones give short lists.
+SLOTS = 1 << 20
+#: Rounds of stars around changing centres, after the first one.
+ROUNDS = 1
 
 _FACTORS = multipliers(SKETCHES, 5)
 
@@ -72,57 +73,90 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tids, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tid", "sketches"])
 
 
-def form(a: np.ndarray) -> bytes:
-    """Words and distinct shingles of a text, as word numbers, and their counts by bins."""
-    s = np.unique(shingles(a.astype(np.uint64), SHINGLE))
-    counts = np.concatenate([np.bincount((a >> np.uint32(26)).astype(np.int64), minlength=WORD_BINS), np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SHINGLE_BINS)])
-    return np.array([a.size, s.size], "<u4").tobytes() + np.minimum(counts, FULL).astype("<u2").tobytes()
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        told = [(words(codepoints(x.as_py() or ""))[0] >> np.uint64(32)).astype("<u4") for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([x.tobytes() for x in told], pa.binary())], ["tid", "words"])
 
 
-def possible(forms: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which pairs of forms (rows of bytes) may be linked: no pair that alike() links is left out."""
+def parts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a text as word numbers: its distinct shingles, and its words with their occurrence numbers, as two kinds of hashes."""
+    s = np.unique(shingles(a.astype(np.uint64), SHINGLE)) | np.uint64(1)
+    w = mixed(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + occurrences(a).astype(np.uint64)) & ~np.uint64(1)
+    return np.unique(s), w
 
-    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.ascontiguousarray(x[:, 8:]).view("<u2").astype(np.float32)
-        counts[counts >= FULL] = np.inf
-        return np.ascontiguousarray(x[:, :8]).view("<u4").astype(np.float64), counts
 
-    (sizes, counts), (sizes_, counts_) = parts(forms), parts(other)
-    out = np.zeros((len(sizes), len(sizes_)), bool)
-    for i in range(len(sizes)):
-        both = np.minimum(counts[i], counts_)
-        same, common = both[:, :WORD_BINS].sum(axis=1, dtype=np.float64), np.minimum(both[:, WORD_BINS:].sum(axis=1, dtype=np.float64), np.minimum(sizes[i, 1], sizes_[:, 1]))
-        same = np.minimum(same, np.minimum(sizes[i, 0], sizes_[:, 0]))
-        out[i] = (common >= SIMILARITY * (sizes[i, 1] + sizes_[:, 1] - common)) | (same >= ALIGNED * np.maximum(sizes[i, 0], sizes_[:, 0]))
-    return out
+def slots(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        told = [(words(codepoints(x.as_py() or ""))[0] >> np.uint64(32)).astype("<u4") for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([x.tobytes() for x in told], pa.binary()), pa.array([form(x) for x in told], pa.binary())], ["tid", "words", "form"])
+def rarest(a: np.ndarray, counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """For shingles and for words the hashes, rare ones first, of which linked texts share one, and how many the text has."""
+    out = []
+    for h, share in zip(parts(a), (SIMILARITY, ALIGNED), strict=True):
+        order = np.lexsort((h, counts[slots(h)]))
+        out.append((h[order[: h.size - int(np.ceil(share * h.size - 1e-9)) + 1]], h.size))
+    return out
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(x, y) of pairs of blocks: what is of different classes and may be linked."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total, some, size = np.zeros(SLOTS, np.int64), [], 0
     for batch in batches:
-        found: set[tuple[bytes, bytes]] = set()
-        for left, right in zip(batch.column("xs"), batch.column("ys"), strict=True):
-            (tx, rx, fx), (ty, ry, fy) = (b.values.flatten() for b in (left, right))
-            forms = [np.frombuffer(b"".join(f.to_pylist()), np.uint8).reshape(len(f), -1) for f in (fx, fy)]
-            ok = possible(*forms) & (rx.to_numpy()[:, None] != ry.to_numpy()[None, :])
-            tx, ty = tx.to_pylist(), ty.to_pylist()
-            found.update((min(tx[i], ty[j]), max(tx[i], ty[j])) for i, j in zip(*np.nonzero(ok), strict=True))
-            if len(found) > 50_000:
-                yield _pairs(found)
-                found = set()
-        if found:
-            yield _pairs(found)
+        for x in batch.column("words"):
+            some += [slots(h) for h in parts(np.frombuffer(x.as_py(), "<u4"))]
+            size += some[-1].size + some[-2].size
+            if size > SLOTS:
+                total += np.bincount(np.concatenate(some), minlength=SLOTS)
+                some, size = [], 0
+    if some:
+        total += np.bincount(np.concatenate(some), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    for i in range(0, at.size, 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000].astype(np.int32)), pa.array(total[at[i : i + 50_000]])], ["slot", "n"])
 
 
-def _pairs(found: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    x, y = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
+def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(x, y): of the texts in buckets with several classes, all pairs of different classes that may be linked."""
+    rows = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("sketch", "tid", F.xxhash64(F.coalesce("root", "tid")).alias("root"))
+    several = rows.groupBy("sketch").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sketch")
+    left = rows.join(several, "sketch", "left_semi").select("tid", "root").distinct()
+    texts = durable_in_loop(left.join(numbers, "tid").select("tid", "root", "words"))
+    counts = np.zeros(SLOTS, np.uint32)
+    found = texts.select("words").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows of two numbers
+    counts[found["slot"]] = np.minimum(found["n"], 2**32 - 1)
+    spark = shared.sparkSession
+    table = spark.sparkContext.broadcast(counts)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            n = [h.size for _, _, h, _ in held]
+            cols = [pa.array(np.concatenate([h for _, _, h, _ in held]).view(np.int64)), pa.array([t for t, k in zip((t for t, *_ in held), n, strict=True) for _ in range(k)], pa.binary())]
+            cols += [pa.array(np.repeat([v[i] for v in held], n)) for i in (1, 3)]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.arange(k) for k in n]))], ["part", "tid", "root", "size", "place"])
+
+        held, rows = [], 0
+        for batch in batches:
+            for tid, root, x in zip(batch.column("tid").to_pylist(), batch.column("root").to_pylist(), batch.column("words"), strict=True):
+                for h, size in rarest(np.frombuffer(x.as_py(), "<u4"), table.value):
+                    held.append((tid, root, h, size))
+                    rows += h.size
+                if rows > 20_000:
+                    yield out()
+                    held, rows = [], 0
+        if held:
+            yield out()
+
+    listed = durable_in_loop(texts.mapInArrow(first, "part long, tid binary, root long, size long, place long"))
+    table.destroy()
+    shared_parts = listed.groupBy("part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("part")
+    met = listed.join(shared_parts, "part")
+    x, y = (met.select("part", *[F.col(c).alias(f"{n}_{c}") for c in ("tid", "root", "size", "place")]) for n in "xy")
+    word, both = F.col("part") % 2 == 0, F.col("x_size") + F.col("y_size")
+    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))  # what can still be shared from here on
+    longer, shorter = F.greatest("x_size", "y_size"), F.least("x_size", "y_size")
+    room = F.when(word, (most >= ALIGNED * longer - 1e-6) & (shorter >= ALIGNED * longer - 1e-6)).otherwise((most >= SIMILARITY / (1 + SIMILARITY) * both - 1e-6) & (shorter >= SIMILARITY * longer - 1e-6))
+    pairs = x.join(y, "part").where((F.col("x_root") < F.col("y_root")) & room)
+    return pairs.select(F.least("x_tid", "y_tid").alias("x"), F.greatest("x_tid", "y_tid").alias("y")).distinct()
 
 
 def _centred(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -141,27 +175,6 @@ def _centred(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     return one.select("ends.x", "ends.y", "root", "centre")
 
 
-def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(x, y) of all texts that share a sketch, are of different classes and may be linked.
-
-    Large classes of a bucket have blocks of their own, which do not meet each other.
-    """
-    rows = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("sketch", "tid", F.xxhash64(F.coalesce("root", "tid")).alias("root"))
-    sizes = rows.groupBy("sketch", "root").agg(F.count(F.lit(1)).alias("n"))
-    small = F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)).alias("small")
-    several = sizes.groupBy("sketch").agg(F.count(F.lit(1)).alias("roots"), small).where("roots > 1").select("sketch", "small")
-    sizes = sizes.join(several, "sketch")
-    large = F.when(F.col("n") > BLOCK, F.col("root"))
-    piece = F.when(F.col("n") > BLOCK, F.pmod(F.xxhash64("tid"), F.ceil(F.col("n") / BLOCK))).otherwise(F.pmod(F.xxhash64("root"), F.greatest(F.lit(1), F.ceil(F.col("small") / BLOCK))))
-    dealt = rows.join(sizes, ["sketch", "root"]).select("sketch", "tid", "root", large.alias("large"), piece.alias("piece")).join(numbers.select("tid", "form"), "tid")
-    blocks = durable_in_loop(dealt.groupBy("sketch", "large", "piece").agg(F.collect_list(F.struct("tid", "root", "form")).alias("texts")))
-    named = F.struct(F.coalesce("large", F.lit(0)), F.col("large").isNull(), "piece")
-    x = blocks.select("sketch", named.alias("i"), F.col("large").alias("lx"), F.col("texts").alias("xs"))
-    y = blocks.select("sketch", named.alias("j"), F.col("large").alias("ly"), F.col("texts").alias("ys"))
-    meet = x.join(y, "sketch").where("i <= j AND NOT coalesce(lx = ly, false)")
-    return meet.select("xs", "ys").mapInArrow(_met, "x binary, y binary").dropDuplicates(["x", "y"])
-
-
 def aligned(a: np.ndarray, b: np.ndarray, band: int, least: int = 0) -> int:
     """The most words of a and b that can be matched in order with positions at most `band` apart, by bit-parallel dynamic programming.
 
@@ -319,6 +332,11 @@ def text_id() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def named(column: str) -> Column:
+    """An id of any type, null too, as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(one row a document: doc_id, tid, class_id, class_size; one row a class: root, class_id, tid of its keeper).
 
@@ -333,16 +351,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     votes = shared.where("x <> tid").groupBy("x", F.col("tid").alias("y")).agg(F.count(F.lit(1)).alias("n"))
     pairs = durable(votes.groupBy("y").agg(F.max(F.struct("n", "x")).alias("best")).select(F.col("best.x").alias("x"), "y"))
 
-    least = F.lit(-(2**63))
-    needed = shared.select("tid").distinct().join(texts.select("tid", F.coalesce(F.col("id").cast("long"), least).alias("own")), "tid")
-    own = rows.select(text_id().alias("tid"), F.coalesce(F.col("doc_id").cast("long"), least).alias("own"), "text")
-    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary, form binary").dropDuplicates(["tid"]))
+    needed = shared.select("tid").distinct().join(texts.select("tid", named("id").alias("own")), "tid")
+    own = rows.select(text_id().alias("tid"), named("doc_id").alias("own"), "text")
+    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary").dropDuplicates(["tid"]))
 
     release(docs.sparkSession)  # the shuffled texts
     tested = _verify(pairs, numbers)
     labels = flattened(tested.where("ok").select(F.col("y").alias("node"), F.col("x").alias("root")))  # stars: x is less than y, one x a y
-    turn = 0
-    while True:
+    for turn in range(ROUNDS):
         fresh = durable_in_loop(_centred(shared, labels, turn))
         more = _verify(fresh.select("x", "y"), numbers)
         release(docs.sparkSession)
@@ -350,9 +366,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         up = more.where("ok").join(fresh, ["x", "y"]).groupBy("root").agg(F.min("centre").alias("centre"))
         up = flattened(durable_in_loop(up.select(F.col("root").alias("node"), F.col("centre.root").alias("root"))))
-        labels, tested, turn = follow(labels, up), tested.unionByName(more), turn + 1
-        if more.where("strong").isEmpty():  # another round costs more than it saves; what it would find, the comparison of all that is left finds
-            break
+        labels, tested = follow(labels, up), tested.unionByName(more)
 
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = _verify(durable_in_loop(_remaining(shared, labels, numbers).join(done, ["x", "y"], "left_anti")), numbers).where("ok")
@@ -373,7 +387,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the least doc_id of its class), class_size (its rows), kept (whether it is the one that stays).
 
     Equal texts are of one class, null counting as empty; texts without words are alike only if equal. Rows of a null doc_id are kept only if their class
-    has no other; repeated rows are told of each, and kept alike. An empty table gives no rows. Columns other than doc_id and text are not read.
+    has no other; repeated rows are told of each, and kept alike. Ids may be of any type that can be ordered and written as a string. An empty table gives no rows. Columns other than doc_id and text are not read.
     """
     rows, _ = classes(docs)
     return rows.select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -382,10 +396,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: all its columns, none else. Of rows that repeat id and text, one stays."""
     rows, whole = classes(docs)
-    least = F.lit(-(2**63))
-    keepers = whole.select(F.col("keeper").alias("__tid"), F.coalesce(F.col("class_id").cast("long"), least).alias("__own"))
+    keepers = whole.select(F.col("keeper").alias("__tid"), named("class_id").alias("__own"))
     repeated = not rows.select("doc_id", "tid").join(whole.select(F.col("keeper").alias("tid"), F.col("class_id").alias("id")), "tid").where("doc_id <=> id").groupBy("tid").count().where("count > 1").isEmpty()
-    own = docs.withColumns({"__tid": text_id(), "__own": F.coalesce(F.col("doc_id").cast("long"), least)})
+    own = docs.withColumns({"__tid": text_id(), "__own": named("doc_id")})
     kept = own.join(keepers, ["__tid", "__own"], "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["__tid", "__own"])

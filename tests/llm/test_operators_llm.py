@@ -527,13 +527,36 @@ def test_pairs_of_a_template_are_all_compared(spark):
     assert all(together), sum(together)
 
 
-def test_forms_leave_no_linked_pair_out():
+@pytest.mark.parametrize("counted", [True, False])
+def test_linked_pairs_share_a_rare_part(counted):
     rng, vocab = random.Random(32), vocabulary(32, 300)
     base = [prose(rng, vocab, rng.randrange(1, 200)) for _ in range(12)]
     tok = [(words(codepoints(edited(rng, vocab, t, s)))[0] >> np.uint64(32)).astype("u4") for t in base for s in (0, 0.02, 0.05, 0.1, 0.3)]
-    forms = np.stack([np.frombuffer(neardup.form(t), np.uint8) for t in tok])
-    may = neardup.possible(forms, forms)
-    assert all(may[i, j] or not neardup.alike(a, b) for i, a in enumerate(tok) for j, b in enumerate(tok)) and not may.all()
+    counts = np.zeros(neardup.SLOTS, np.uint32)
+    for t in tok if counted else []:
+        for h in neardup.parts(t):
+            np.add.at(counts, neardup.slots(h), 1)
+    first = [set(np.concatenate([h for h, _ in neardup.rarest(t, counts)]).tolist()) for t in tok]
+    linked = [(i, j) for i in range(len(tok)) for j in range(i) if neardup.alike(tok[i], tok[j])]
+    assert len(linked) > 30 and all(first[i] & first[j] for i, j in linked)
+
+
+def test_a_template_family_of_two_thousand(spark):
+    """Links of a family whose other pairs are alike by 0.7: all are found, and few pairs are compared."""
+    rng, vocab = random.Random(33), vocabulary(33)
+    shared, rows = prose(rng, vocab, 100), []
+    for _ in range(1000):
+        own = prose(rng, vocab, 20).split()
+        rows += [f"{shared} {' '.join(own)}", f"{shared} {' '.join([*own[:8], *prose(rng, vocab, 12).split()])}"]
+    df = spark.createDataFrame([(str(i * 7919 % 2003), t, "en", "a", 0) for i, t in enumerate(rows)], DOCS.replace("doc_id long", "doc_id string"))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(df).collect()}
+    ids = [str(i * 7919 % 2003) for i in range(len(rows))]
+    assert len(got) == 2000 and all(got[ids[i]] == got[ids[i + 1]] for i in range(0, 2000, 2))
+    tok = [(words(codepoints(t))[0] >> np.uint64(32)).astype("u4") for t in rows]
+    sets = [set(shingles(t.astype(np.uint64), 5).tolist()) for t in tok]
+    for i in range(0, 2000, 40):  # brute force: one class exactly where a link leads
+        near = {j for j in range(2000) if j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert all(got[ids[j]] == got[ids[i]] for j in near)
 
 
 def test_near_duplicates_odd_rows(odd, empty):
