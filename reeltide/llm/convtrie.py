@@ -15,6 +15,7 @@ and only the pieces meet. Joins of members to their nodes have one row a node on
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -61,21 +62,44 @@ def in_order(turns: DataFrame) -> DataFrame:
     return placed.select("conv_id", "n", F.expr(f"n div {CHUNK}").alias("chunk"), "role", "text")
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(n, np.int64)
-    for i in range(1, n):
+@functools.cache
+def _powers(base: int) -> np.ndarray:
+    """base**0 to base**(CHUNK - 1) modulo PRIME."""
+    out = np.ones(CHUNK, np.int64)
+    for i in range(1, CHUNK):
         out[i] = out[i - 1] * base % PRIME
     return out
 
 
-def _scan(hashes: np.ndarray, chunk: int) -> np.ndarray:
-    """(2, k): in both fields the running sums of hash * point**n over the turns of a chunk."""
-    out = np.empty((2, hashes.size), np.int64)
+def _scan(hashes: pa.Array, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lists of hashes, each a chunk of turns or its beginning: (list, place, term, running sum) of every hash, the latter two in both fields, and every list's sums.
+
+    A term is hash * point**n with n = chunk * CHUNK + place; all lists are scanned at once.
+    """
+    sizes = np.diff(hashes.offsets.to_numpy())
+    flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    start = np.cumsum(sizes) - sizes
+    which = np.repeat(np.arange(sizes.size), sizes)
+    place = np.arange(flat.size) - start[which]
+    known, row = np.unique(chunks, return_inverse=True)
+    term, run, whole = np.empty((2, flat.size), np.int64), np.empty((2, flat.size), np.int64), np.zeros((2, sizes.size), np.int64)
     for i, point in enumerate(POINTS):
-        h = (hashes >> (31 * i)) % PRIME  # another part of the hash in each field
-        weights = _powers(point, CHUNK)[: hashes.size] * pow(point, chunk * CHUNK, PRIME) % PRIME
-        out[i] = np.cumsum(h * weights % PRIME) % PRIME
-    return out
+        far = np.array([pow(point, int(c) * CHUNK, PRIME) for c in known], np.int64)[row] if known.size else np.zeros(0, np.int64)
+        h = (flat >> (31 * i)) % PRIME  # another part of the hash in each field
+        term[i] = h * (_powers(point)[place] * far[which] % PRIME) % PRIME
+        total = np.r_[0, np.cumsum(term[i])]  # of fewer than 2**32 terms below 2**31
+        run[i] = (total[1:] - total[start][which]) % PRIME
+        whole[i] = (total[start + sizes] - total[start]) % PRIME
+    return which, place, term, run, whole
+
+
+def _cut(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The batch in pieces whose lists have about 64 * CHUNK entries."""
+    upto = np.cumsum(np.diff(batch.column(column).offsets.to_numpy())) // (64 * CHUNK)
+    edges = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, batch.num_rows]
+    for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        if e > b:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(b, e - b)]) for c in batch.columns], batch.schema.names)
 
 
 def chunked(placed: DataFrame, seed: int) -> DataFrame:
@@ -86,9 +110,9 @@ def chunked(placed: DataFrame, seed: int) -> DataFrame:
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = [_scan(h.values.to_numpy(), k.as_py())[:, -1] for h, k in zip(batch.column("hashes"), batch.column("chunk"), strict=True)]
-            s = np.array(both, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s[:, 0]), pa.array(s[:, 1])], [*batch.schema.names, "s1", "s2"])
+            for some in _cut(batch, "hashes"):
+                whole = _scan(some.column("hashes"), some.column("chunk").to_numpy())[4]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(whole[0]), pa.array(whole[1])], [*some.schema.names, "s1", "s2"])
 
     summed = durable(rows.mapInArrow(sums, "conv_id long, chunk long, hashes array<long>, chars array<long>, s1 long, s2 long"))
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -110,40 +134,34 @@ def rebuilt(placed: DataFrame, seed: int = 0, bits: int = 62) -> DataFrame:
     inverse = [[pow(p, -i, PRIME) for i in range(HEADS)] for p in POINTS]
     mask = np.int64((1 << bits) - 1)
 
-    def told(conv: int, d: np.ndarray, n: np.ndarray | None, both: np.ndarray, chars: np.ndarray, first: tuple[int, int]) -> pa.RecordBatch:
-        """Rows of consecutive depths d, the fields' sums at them, and those before the first."""
-        fp = ((both[0] << 31) | both[1]) & mask
-        was = np.int64((first[0] << 31) | first[1]) & mask if d[0] > 1 else 0
-        places = pa.nulls(d.size, pa.int64()) if n is None else pa.array(n)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(d.size, conv)), pa.array(d), places, pa.array(fp), pa.array(np.r_[was, fp[:-1]]), pa.array(chars)], ["conv_id", "d", "n", "fp", "parent", "chars"])
+    names = ["conv_id", "d", "n", "fp", "parent", "chars"]
+
+    def print_of(sums: np.ndarray) -> np.ndarray:
+        return ((sums[0] << 31) | sums[1]) & mask
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
         for batch in batches:
-            for row in batch.to_pylist():
-                conv, h, chunk = row["conv_id"], row["h"], row["chunk"]
-                base = _scan(np.array(row["base_hashes"], np.int64), 0)
-                k = base.shape[1]
-                top = base[:, -1] if k else np.zeros(2, np.int64)
-                if chunk == 0 and k:
-                    out.append(told(conv, np.arange(1, k + 1), None, base, np.array(row["base_chars"], np.int64), (0, 0)))
-                hashes, chars = np.array(row["hashes"], np.int64), np.array(row["chars"], np.int64)
-                skip = h if chunk == 0 else 0
-                if hashes.size > skip:
-                    gone = _scan(np.array(row["skipped"], np.int64), 0)
-                    less = gone[:, -1] if gone.shape[1] else np.zeros(2, np.int64)
-                    before = np.array([row["b1"], row["b2"]], np.int64)
-                    shift = np.array([inverse[i][h - k] for i in range(2)], np.int64)
-                    sums = (before[:, None] + np.c_[np.zeros(2, np.int64), _scan(hashes, chunk)] - less[:, None]) % PRIME
-                    sums = (top[:, None] + sums * shift[:, None] % PRIME) % PRIME
-                    n = np.arange(skip, hashes.size) + chunk * CHUNK
-                    out.append(told(conv, n - h + k + 1, n, sums[:, skip + 1 :], chars[skip:], tuple(sums[:, skip].tolist())))
-                held = sum(b.num_rows for b in out) if len(out) % 64 == 0 else held
-                if held > 20_000:
-                    yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
-                    out, held = [], 0
-        if out:
-            yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+            for some in _cut(batch, "hashes"):
+                conv, h, chunk, before = some.column("conv_id").to_numpy(), some.column("h").to_numpy(), some.column("chunk").to_numpy(), np.array([some.column(b).to_numpy() for b in ("b1", "b2")])
+                zero = np.zeros(conv.size, np.int64)
+                which, place, term, run, top = _scan(some.column("base_hashes"), zero)
+                k = np.bincount(which, minlength=conv.size)
+                first = chunk[which] == 0  # the base's turns stand before the first chunk only
+                chars = some.column("base_chars").flatten().to_numpy(zero_copy_only=False)
+                above = np.where(place > 0, print_of((run - term) % PRIME), 0)
+                cols = [conv[which], place + 1, None, print_of(run), above, chars]
+                yield pa.RecordBatch.from_arrays([pa.nulls(int(first.sum()), pa.int64()) if c is None else pa.array(c[first]) for c in cols], names)
+
+                gone = _scan(some.column("skipped"), zero)[4]
+                shift = np.array([np.array(inverse[i], np.int64)[h - k] for i in range(2)])
+                which, place, term, run, _ = _scan(some.column("hashes"), chunk)
+                own = place >= np.where(chunk == 0, h, 0)[which]
+                chars = some.column("chars").flatten().to_numpy(zero_copy_only=False)
+                at = lambda sums: (top[:, which] + (before[:, which] + sums - gone[:, which]) % PRIME * shift[:, which] % PRIME) % PRIME
+                n = place + chunk[which] * CHUNK
+                d = n - h[which] + k[which] + 1
+                above = np.where(d > 1, print_of(at(run - term)), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(c[own]) for c in (conv[which], d, n, print_of(at(run)), above, chars)], names)
 
     ready = chunks.drop("s1", "s2").join(begin, "conv_id")  # one row a chunk
     return ready.mapInArrow(scan, "conv_id long, d long, n long, fp long, parent long, chars long")

@@ -35,8 +35,8 @@ ALIGNED = 0.9
 DIRECT = 4096
 #: Sketches of so many shingles are made at once.
 PIECE = 1 << 15
-#: Counters of shingles and words by hash, one table of 4 MB. Any counts give a right order; true ones give short lists.
-SLOTS = 1 << 20
+#: Counters of shingles and words by hash, one table of 1 MB. Any counts give a right order; true ones give short lists.
+SLOTS = 1 << 18
 #: Rounds of stars around changing centres, after the first one.
 ROUNDS = 1
 
@@ -122,8 +122,8 @@ def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> Data
     left = rows.join(several, "sketch", "left_semi").select("tid", "root").distinct()
     texts = durable_in_loop(left.join(numbers, "tid").select("tid", "root", "words"))
     counts = np.zeros(SLOTS, np.uint32)
-    found = texts.select("words").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows of two numbers
-    counts[found["slot"]] = np.minimum(found["n"], 2**32 - 1)
+    found = texts.select("words").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows of two numbers
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
     spark = shared.sparkSession
     table = spark.sparkContext.broadcast(counts)
 
