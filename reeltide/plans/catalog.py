@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.plans import choices, figures, lookups, scores, sequences
+from reeltide.plans import choices, figures, lookups, scores, sequences, signals
 
-MODULES = (scores, lookups, sequences, choices, figures)
+MODULES = (scores, lookups, sequences, choices, figures, signals)
 
 
 def queries() -> dict:
