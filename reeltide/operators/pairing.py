@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reeltide.operators.ranges import running_sum
+
 
 def paired(base: DataFrame, dependent: DataFrame, on: list[str], order: list[str], carry: dict[str, str]) -> DataFrame:
     """Every base row with the dependent row of equal keys, the first in `order` if there are several; null where none is."""
@@ -12,6 +14,24 @@ def paired(base: DataFrame, dependent: DataFrame, on: list[str], order: list[str
     return base.join(one, on, "left").select(*base.columns, *[F.col(f"_d.{n}").alias(n) for n in carry.values()])
 
 
+def paired_bounded(base: DataFrame, dependent: DataFrame, keys: list[str], t: str, seq: str, ident: str, bound: int, bucket: int, out: str = "dependent") -> DataFrame:
+    """base with the dependent row of its key and time, as a reader finds it that waits for at most `bound` rows: null if the dependent comes after `bound` or more later base rows, or came before `bound` or more later dependents.
+
+    Both sides arrive in the order of `seq`, an integer of its own in both. Of several dependents of a time the reader takes the first that it still holds, or the first to come; of those that it does not hold none. Arrivals are counted in two levels, over ranges of `bucket`.
+    """
+    both = base.select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_s"), F.col(ident).alias("_i"), F.lit(0).alias("_kind"))
+    both = both.unionByName(dependent.select(*keys, F.col(t).alias("_t"), F.col(seq).alias("_s"), F.col(ident).alias("_i"), F.lit(1).alias("_kind")))
+    at = F.floor(F.col("_s") / bucket)
+    counted = running_sum(running_sum(both, keys, ["_s"], at, F.lit(1) - F.col("_kind"), "_bases"), keys, ["_s"], at, F.col("_kind"), "_deps")
+    b = counted.where("_kind = 0").select(*keys, "_t", F.col("_s").alias("_bs"), F.col("_i").alias(ident), F.col("_bases").alias("_bn"), F.col("_deps").alias("_bd"))
+    d = counted.where("_kind = 1").select(*keys, "_t", F.col("_s").alias("_ds"), F.col("_i").alias(out), F.col("_bases").alias("_db"), F.col("_deps").alias("_dn"))
+    held = (F.col("_ds") < F.col("_bs")) & (F.col("_bd") - F.col("_dn") < bound)
+    later = (F.col("_ds") > F.col("_bs")) & (F.col("_db") - F.col("_bn") < bound)
+    met = b.join(d, [*keys, "_t"], "left").withColumn("_ok", F.when(held | later, F.struct("_ds", out)))
+    one = met.groupBy(*keys, "_bs", ident).agg(F.min("_ok").alias("_f"))
+    return one.select(*keys, ident, F.col(f"_f.{out}").alias(out))
+
+
 def zipped(a: DataFrame, b: DataFrame, keys: list[str], order_a: list, order_b: list, skip: int = 0) -> DataFrame:
     """Rows of a and b of the same place within their key, b counted from `skip`; it ends with the shorter."""
     n = lambda order: F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1

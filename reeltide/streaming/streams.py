@@ -1,11 +1,10 @@
-"""The same rules on unbounded input: pairing with late dependents, bounded reordering, watched folders.
+"""The same rules on unbounded input: pairing with late dependents, bounded reordering, sessions.
 
 Media times are integers; where Spark needs an event time it is made from them (microseconds since 1970), and the integer stays beside it.
 """
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,29 +74,3 @@ def sessions(rows: DataFrame, key: str, t: str, gap: str, lateness: str) -> Data
     """Runs of rows broken by silence: key, begun, ended, n."""
     d = rows.withColumn("at", event_time(t)).withWatermark("at", lateness)
     return d.groupBy(key, F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("begun"), F.col("session_window.end").alias("ended"), "n")
-
-
-def watch(sources: DataFrame, done_path: str, work, retry: bool = False, now: datetime.datetime | None = None) -> list[tuple[str, str]]:
-    """One round over settled sources (rows of `source`) that are not done: work(source) for each, its result recorded as `ok` or `failed: ...`.
-
-    As the rule has it, failed sources count as done too, unless `retry` is asked for. The done table is appended to after each source, so an ended run
-    goes on where it stopped.
-    """
-    spark = sources.sparkSession
-    try:
-        done = spark.read.parquet(done_path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = spark.createDataFrame([], "source string, status string")
-    seen = done.where("status = 'ok'") if retry else done
-    out = []
-    for r in sources.join(seen.select("source").distinct(), "source", "left_anti").orderBy("source").toLocalIterator():
-        try:
-            work(r["source"])
-            status = "ok"
-        except Exception as e:
-            status = f"failed: {e}"
-        spark.createDataFrame([(r["source"], status)], "source string, status string").write.mode("append").parquet(done_path)
-        out.append((r["source"], status))
-    return out

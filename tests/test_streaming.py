@@ -1,7 +1,5 @@
 """Streams against the batch rules, and caption texts."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from reeltide.operators import pairing, sequence
@@ -45,22 +43,6 @@ def test_stream_reordering_matches_batch(spark, tmp_path):
     assert len(got) >= len(rows) - 4 and all(want[k] == v for k, v in got.items())
 
 
-def test_watch_counts_failures_as_done(spark, tmp_path):
-    sources = spark.createDataFrame([("a",), ("b",)], "source string")
-    tried = []
-
-    def work(x):
-        tried.append(x)
-        if x == "b":
-            raise ValueError("broken")
-
-    done = os.path.join(tmp_path, "done")
-    assert [s for _, s in streams.watch(sources, done, work)] == ["ok", "failed: broken"]
-    assert streams.watch(sources, done, work) == [] and tried == ["a", "b"]
-    streams.watch(sources, done, work, retry=True)
-    assert tried == ["a", "b", "b"]
-
-
 def test_captions(spark, tmp_path):
     (tmp_path / "a.srt").write_bytes("﻿1\r\n00:00:01,500 --> 00:00:02,000\r\nHi <i>you</i>\r\nall\r\n\r\n2\r\n01:00:00,0 --> 01:00:01,25\r\n\r\n3\r\n00:00:05,000 --> 00:00:06,000\r\nBye\r\n".encode())
     (tmp_path / "b.vtt").write_text("WEBVTT\n\nNOTE 00:01.000 --> 00:02.000\nno\n\nid\n00:03.000 --> 00:04.500 align:start\nYes\n")
