@@ -9,10 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from reeltide.operators.ranges import _back
+
 #: step(state, row) -> (state, rows out); end(state) -> rows out. Rows are tuples.
 Step = Callable[[object, tuple], tuple[object, list[tuple]]]
 End = Callable[[object], list[tuple]]
@@ -72,28 +75,43 @@ def clusters(df: DataFrame, keys: list[str], order: list[str], t: str, key_frame
     return fold(df, keys, order, [t, key_frame, *carry], step, out)
 
 
+def held_flag(df: DataFrame, keys: list[str], order: list[str], flag: str, fresh: str, hold: int, out: str) -> DataFrame:
+    """df with the flag that holds: that of the last row that ends `hold` equal flags in a row, else that of the first row since a fresh one."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    up_to = (Window.unboundedPreceding, 0)
+    d = df.withColumn("_part", F.sum(F.coalesce(F.col(fresh), F.lit(False)).cast("int")).over(w.rowsBetween(*up_to)))
+    part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    d = d.withColumn("_run", F.sum((~F.col(flag).eqNullSafe(F.lag(flag).over(part))).cast("int")).over(part.rowsBetween(*up_to)))
+    d = d.withColumn("_length", F.row_number().over(Window.partitionBy(*keys, "_part", "_run").orderBy(*order)))
+    held = F.last(F.when(F.col("_length") >= hold, F.col(flag)), ignorenulls=True).over(part.rowsBetween(*up_to))
+    return d.withColumn(out, F.coalesce(held, F.first(flag).over(part.rowsBetween(*up_to)))).drop("_run", "_length")
+
+
 def hysteresis(df: DataFrame, keys: list[str], order: list[str], flag: str, fresh: str, carry: list[str], hold: int, ease: int) -> DataFrame:
-    """The factor of each row: 1, or 0 while `flag` has held; a change needs `hold` agreeing rows and is eased by 1 / ease a row; a fresh row takes its own flag."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    """The factor of each row: 1, or 0 while `flag` has held; a change needs `hold` agreeing rows and is eased by 1 / ease a row; a fresh row takes its own flag.
+
+    Along a stretch in which the same flag holds the factor goes in steps to 0 or 1 and stays there, so only one row a stretch is read in order: how long it is decides what the next one begins with. `flag` is not null.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    n = len(keys)
+    d = held_flag(df, keys, order, flag, fresh, hold, "_flat")
+    part = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    turned = F.col("_flat") != F.lag("_flat").over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    d = d.withColumn("_stretch", F.sum(F.coalesce(turned, F.lit(False)).cast("int")).over(part))
+    by = [*keys, "_part", "_stretch"]
+    d = d.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    stretches = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"), F.first("_flat").alias("_flat"))
 
     def step(state, row):
-        is_, new = row[len(keys)], row[len(keys) + 1]
-        if state is None or new:
-            flat, run, factor = is_, 0, 0.0 if is_ else 1.0
-        else:
-            flat, run, factor = state
-            if is_ != flat:
-                run += 1
-                if run >= hold:
-                    flat, run = is_, 0
-            else:
-                run = 0
-            want = 0.0 if flat else 1.0
-            factor = min(factor + 1 / ease, want) if factor < want else max(factor - 1 / ease, want)
-        return (flat, run, factor), [(*row[: len(keys)], *row[len(keys) + 2 :], factor)]
-
-    out = ", ".join(f"{c} {types[c]}" for c in [*keys, *carry]) + ", factor double"
-    return fold(df, keys, order, [flag, fresh, *carry], step, out)
+        part, stretch, rows, flat = row[n:]
+        first = (0 if flat else ease) if stretch == 0 else state
+        return min(ease, max(0, first + (-rows if flat else rows))), [(*row[: n + 2], first)]
+
+    form = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", _part bigint, _stretch bigint, _first int"
+    first = fold(stretches, keys, ["_part", "_stretch"], ["_part", "_stretch", "_rows", "_flat"], step, form)
+    met = _back(d, first, by)
+    steps = F.greatest(F.lit(0), F.least(F.lit(ease), F.col("_first") + F.when(F.col("_flat"), -F.col("_k")).otherwise(F.col("_k"))))
+    return met.select(*keys, *carry, (steps / F.lit(float(ease))).alias("factor"))
 
 
 def tolerant_best(df: DataFrame, keys: list[str], name: str, length: str, chapters: str, items: str, tolerance: float, other: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from reeltide.operators.ranges import lagged, numbered, running_sum
+
 UP_TO = (Window.unboundedPreceding, 0)
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -59,9 +61,9 @@ def cue_ends(df: DataFrame, keys: list[str], t: str, default: int, out: str) ->
     return df.withColumn(out, F.coalesce(F.lead(t).over(ordered(keys, [t])), F.col(t) + default))
 
 
-def segments(df: DataFrame, keys: list[str], order: list, size: int, out: str) -> DataFrame:
-    """Segment numbers: `size` rows each."""
-    return df.withColumn("_n", F.row_number().over(ordered(keys, order)) - 1).withColumn(out, F.expr(f"_n div {size}")).drop("_n")
+def segments(df: DataFrame, keys: list[str], order: list, size: int, out: str, bucket: Column) -> DataFrame:
+    """Segment numbers: `size` rows each. Rows are numbered in two levels, over ranges that `bucket` gives."""
+    return numbered(df, keys, order, bucket, "_n").withColumn(out, F.expr(f"_n div {size}")).drop("_n")
 
 
 def every_nth(df: DataFrame, keys: list[str], order: list, skip: int, every: int) -> DataFrame:
@@ -81,13 +83,12 @@ def run_rate(df: DataFrame, keys: list[str], order: list, t: str, silence: int,
     return d.withColumn(out, rate).drop("_new", "_run", "_n", "_span")
 
 
-def cut_ids(df: DataFrame, keys: list[str], order: list, thumb: str, limit: float, out: str) -> DataFrame:
-    """Shot numbers: a new shot where the mean absolute change of the thumbnail is above `limit`."""
-    w = ordered(keys, order)
+def cut_ids(df: DataFrame, keys: list[str], order: list, thumb: str, limit: float, out: str, bucket: Column) -> DataFrame:
+    """Shot numbers: a new shot where the mean absolute change of the thumbnail is above `limit`. Neighbours and counts go over ranges that `bucket` gives."""
     change = F.aggregate(F.zip_with(thumb, "_last", lambda a, b: F.abs(a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, x: s + x) / F.size(thumb)
-    d = df.withColumn("_last", F.lag(thumb).over(w))
-    d = d.withColumn("_cut", F.when(F.col("_last").isNotNull() & (change > limit), 1).otherwise(0))
-    return d.withColumn(out, F.sum("_cut").over(w.rowsBetween(*UP_TO))).drop("_last", "_cut")
+    d = lagged(df, keys, order, bucket, {thumb: "_last"})
+    cut = F.when(F.col("_last").isNotNull() & (change > limit), 1).otherwise(0)
+    return running_sum(d, keys, order, bucket, cut, out).drop("_last")
 
 
 def jitter(df: DataFrame, keys: list[str], order: list, ours: str, reference: str, scale: float, least: int) -> DataFrame:

@@ -150,6 +150,7 @@ _C = """n AS (SELECT l_orderkey AS name, l_linenumber AS item, sum(l_quantity::B
     c AS (SELECT name, item, begun + t AS t FROM m JOIN s USING (name, item) WHERE t >= 0)"""
 
 ORACLES = {
+    "track_json": f"""WITH {_T} SELECT source, '{{"duration":' || sum(kbps) || ',"tracks":[' || string_agg('{{"id":' || id || ',"codec":"' || codec || '","lang":"' || lang || '","channels":' || channels || '}}', ',' ORDER BY id) || ']}}' AS listing FROM t GROUP BY source""",
     "track_filter": f"""WITH {_T} SELECT id, lang, codec FROM t WHERE NOT commentary AND coalesce(nullif(trim(lang), ''), 'und') IN ('por', 'pob', 'ptb', 'und', 'deu', 'ger')
         AND (contains(lower(codec), 'promo-r') OR contains(regexp_replace(lower(codec), '[^a-z0-9]', '', 'g'), 'promor') OR contains(regexp_replace(lower(codec), '[^a-z0-9]', '', 'g'), 'standardring') OR contains(lower(codec), 'gear'))""",
     "filter_guard": f"WITH {_T}, o AS (SELECT *, count(*) OVER (PARTITION BY source) AS offered FROM t) SELECT source, id, offered FROM o WHERE lang IN ('eng', 'fra', 'fre')",

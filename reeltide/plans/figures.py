@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reeltide.functions import clock, numbers, text
-from reeltide.operators import measures, sequence
+from reeltide.operators import measures
+from reeltide.operators.ranges import lagged
 from reeltide.tables import table
 
 
@@ -67,13 +68,11 @@ def bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return measures.monotone_error(l, ["l_returnflag"], "l_quantity", "y", ["y", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
+    return measures.monotone_error(l, ["l_returnflag"], "l_quantity", "y", ["y", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"], F.floor("l_quantity"))
 
 
 def psnr_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "embeddings").withColumn("before", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("before IS NOT NULL")
+    e = lagged(table(spark, sf_dir, "embeddings"), ["label"], ["vec_id"], F.expr("vec_id div 64"), {"embedding": "before"}).where("before IS NOT NULL")
     return e.select("vec_id", F.round(measures.psnr("embedding", "before", 1.0, 60.0), 6).alias("psnr"))
 
 
@@ -127,7 +126,56 @@ QUERIES = {
     )
 }
 
+_N = 4  # the intercept and three features
+_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+def _elimination() -> str:
+    """Gaussian elimination of a symmetric system a{i}_{j}, b{i} in the relation s0 (g), a step a relation; then x{i} from the last to the first."""
+    out = []
+    for k in range(_N - 1):
+        cols = [f"a{i}_{j}" if i <= k else f"a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} AS a{i}_{j}" for i in range(_N) for j in range(_N)]
+        cols += [f"b{i}" if i <= k else f"b{i} - a{i}_{k} / a{k}_{k} * b{k} AS b{i}" for i in range(_N)]
+        out.append(f"s{k + 1} AS (SELECT g, {', '.join(cols)} FROM s{k})")
+    for i in reversed(range(_N)):
+        known = "".join(f" - a{i}_{j} * x{j}" for j in range(i + 1, _N))
+        out.append(f"t{i} AS (SELECT *, (b{i}{known}) / a{i}_{i} AS x{i} FROM {f't{i + 1}' if i + 1 < _N else f's{_N - 1}'})")
+    return ", ".join(out)
+
+
+_RIDGE = f"""WITH m AS (SELECT {', '.join(f'avg({f}) AS m{i}, stddev_pop({f}) AS s{i}' for i, f in enumerate(_FEATURES))} FROM lineitem),
+    z AS (SELECT l_returnflag AS g, l_linenumber / 7.0::DOUBLE AS w, l_extendedprice AS y, 1.0::DOUBLE AS z0, {', '.join(f'({f} - m{i}) / s{i} AS z{i + 1}' for i, f in enumerate(_FEATURES))} FROM lineitem, m),
+    own AS (SELECT g, {', '.join(f'sum(w * z{i} * z{j}) AS a{i}_{j}' for i in range(_N) for j in range(_N))}, {', '.join(f'sum(w * z{i} * y) AS b{i}' for i in range(_N))} FROM z GROUP BY g),
+    s0 AS (SELECT g, {', '.join(f'sum(a{i}_{j}) OVER () - a{i}_{j}' + (' + 10' if i == j > 0 else '') + f' AS a{i}_{j}' for i in range(_N) for j in range(_N))}, {', '.join(f'sum(b{i}) OVER () - b{i} AS b{i}' for i in range(_N))} FROM own),
+    {_elimination()}
+    SELECT g AS l_returnflag, unnest(['intercept', {', '.join(f"'{f}'" for f in _FEATURES)}]) AS term, unnest([{', '.join(f'round(x{i}, 4)' for i in range(_N))}]) AS coefficient FROM t0"""
+
+_ISOTONIC = """WITH n AS (SELECT l_returnflag AS g, l_quantity AS x, l_extendedprice / 1000 AS y, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity, l_extendedprice / 1000, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem),
+    b AS (SELECT g, (32 * i - 1) // n AS b, avg(x) AS bx, avg(y) AS y FROM n WHERE n >= 32 GROUP BY ALL),
+    r AS (SELECT f.g, f.b AS first, l.b AS last, (SELECT avg(k.y) FROM b k WHERE k.g = f.g AND k.b BETWEEN f.b AND l.b) AS mean FROM b f JOIN b l ON f.g = l.g AND l.b >= f.b),
+    c AS (SELECT g, b, bx, max(low) AS cy FROM (SELECT b.g, b.b, b.bx, r.first, min(r.mean) AS low FROM b JOIN r ON r.g = b.g AND r.first <= b.b AND r.last >= b.b GROUP BY ALL) GROUP BY ALL),
+    p AS (SELECT *, lead(bx) OVER w AS nx, lead(cy) OVER w AS ny, b = 0 AS start FROM c WINDOW w AS (PARTITION BY g ORDER BY b)),
+    e AS (SELECT n.g, n.y, CASE WHEN n.x <= (SELECT bx FROM p q WHERE q.g = n.g AND q.b = 0) THEN (SELECT cy FROM p q WHERE q.g = n.g AND q.b = 0)
+        ELSE (SELECT arg_max(CASE WHEN nx IS NULL THEN cy WHEN nx = bx THEN cy ELSE cy + (n.x - bx) / (nx - bx) * (ny - cy) END, b) FROM p q WHERE q.g = n.g AND q.bx < n.x) END AS v FROM n WHERE n.n >= 32)
+    SELECT g AS l_returnflag, round(avg(abs(v - y)), 6) AS epe, round(avg((abs(v - y) > 2)::INT), 6) AS bad FROM e GROUP BY g"""
+
+_CUBIC = "(1 + 2 * t) * (1 - t) ** 2 * y + t * (1 - t) ** 2 * h * m + t * t * (3 - 2 * t) * ny + t * t * (t - 1) * h * nm"
+_BD = f"""WITH p AS (SELECT l_linenumber AS k, l_returnflag || l_linestatus AS config, trunc(l_quantity / 10)::INT AS x, ln(sum(l_extendedprice)) AS y FROM lineitem GROUP BY ALL),
+    d AS (SELECT *, lead(x) OVER w - x AS h, lead(y) OVER w AS ny, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS d, count(*) OVER (PARTITION BY k, config) AS n FROM p WINDOW w AS (PARTITION BY k, config ORDER BY x)),
+    l AS (SELECT *, lag(d) OVER w AS pd, lag(h) OVER w AS ph FROM d WHERE n > 1 WINDOW w AS (PARTITION BY k, config ORDER BY x)),
+    m AS (SELECT *, CASE WHEN pd IS NULL THEN d WHEN d IS NULL THEN pd WHEN pd * d > 0 THEN (3 * ph + 3 * h) / ((2 * h + ph) / pd + (h + 2 * ph) / d) ELSE 0 END AS m FROM l),
+    s AS (SELECT *, lead(m) OVER (PARTITION BY k, config ORDER BY x) AS nm FROM m),
+    r AS (SELECT k, config, min(x) AS low, max(x) AS high FROM s GROUP BY ALL),
+    o AS (SELECT a.k, b.config, greatest(a.low, b.low)::DOUBLE AS low, least(a.high, b.high)::DOUBLE AS high FROM r a JOIN r b ON a.k = b.k AND a.config = 'AF' AND b.config <> 'AF' WHERE least(a.high, b.high) > greatest(a.low, b.low)),
+    q AS (SELECT k, config, low + (high - low) * (i + 0.5::DOUBLE) / 1000 AS q FROM o, range(1000) r(i)),
+    v AS (SELECT q.k, q.config, (q.q - a.x) / a.h AS ta, (q.q - b.x) / b.h AS tb, a.y AS ya, a.h AS ha, a.m AS ma, a.ny AS nya, a.nm AS nma, b.y AS yb, b.h AS hb, b.m AS mb, b.ny AS nyb, b.nm AS nmb
+        FROM q JOIN s a ON a.k = q.k AND a.config = 'AF' AND q.q > a.x AND q.q <= a.x + a.h JOIN s b ON b.k = q.k AND b.config = q.config AND q.q > b.x AND q.q <= b.x + b.h)
+    SELECT k AS l_linenumber, config, round((exp(avg(({_CUBIC.replace("nm", "nmb").replace("ny", "nyb").replace(" y ", " yb ").replace("* h ", "* hb ").replace("* m ", "* mb ").replace("t", "tb")}) - ({_CUBIC.replace("nm", "nma").replace("ny", "nya").replace(" y ", " ya ").replace("* h ", "* ha ").replace("* m ", "* ma ").replace("t", "ta")}))) - 1) * 100, 6) AS bd_rate FROM v GROUP BY k, config"""
+
 ORACLES = {
+    "ridge": _RIDGE,
+    "isotonic_curve": _ISOTONIC,
+    "bd_rate": _BD,
     "worst_end": "SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) - count(*) // 100] AS p1 FROM events GROUP BY event_type",
     "indexed_median": "SELECT user_id, count(*) AS n, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY user_id",
     "line_height": "SELECT user_id, count(*) AS n, list_sort(list(value))[count(*) * 2 // 3 + 1] AS height FROM events GROUP BY user_id",

@@ -49,7 +49,7 @@ def cue_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.segments(events(spark, sf_dir), ["event_type"], ORDER, 250, "segment").select("event_type", "event_id", "segment")
+    return sequence.segments(events(spark, sf_dir), ["event_type"], ORDER, 250, "segment", F.floor(F.col("t") / (24 * HOUR))).select("event_type", "event_id", "segment")
 
 
 def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return sequence.cut_ids(e, ["label"], ["vec_id"], "embedding", 0.12, "shot").select("label", "vec_id", "shot")
+    return sequence.cut_ids(e, ["label"], ["vec_id"], "embedding", 0.12, "shot", F.expr("vec_id div 64")).select("label", "vec_id", "shot")
 
 
 def jitter(spark: SparkSession, sf_dir: str) -> DataFrame:

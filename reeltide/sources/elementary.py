@@ -91,31 +91,6 @@ def read_sup(b: bytes) -> Iterator[tuple]:
         order += 1
 
 
-def caption_pixels(b: bytes, width: int, height: int) -> bytes:
-    """A caption object's run-length coded rows as one byte a pixel; short rows are filled with 0."""
-    rows, row, i = [], bytearray(), 0
-    while i < len(b) and len(rows) < height:
-        if b[i]:
-            row.append(b[i])
-            i += 1
-            continue
-        if i + 1 >= len(b):
-            raise Missing(i + 1, 1)
-        flag = b[i + 1]
-        if flag == 0:
-            rows.append(bytes(row[:width]).ljust(width, b"\0"))
-            row, i = bytearray(), i + 2
-            continue
-        run, i = (flag & 63, i + 2) if not flag & 64 else ((flag & 63) << 8 | b[i + 2], i + 3)
-        color = 0
-        if flag & 128:
-            color, i = b[i], i + 1
-        row += bytes([color]) * run
-    if row and len(rows) < height:
-        rows.append(bytes(row[:width]).ljust(width, b"\0"))
-    return b"".join(rows).ljust(width * height, b"\0")
-
-
 def parse_ac3(b: bytes) -> Iterator[tuple]:
     """Header facts of an AC-3 or E-AC-3 frame; none if it is neither."""
     if len(b) < 7 or b[:2] != b"\x0b\x77":

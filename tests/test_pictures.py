@@ -1,8 +1,8 @@
-"""Picture kernels against plain loops, and caption display sets."""
+"""Picture kernels against plain loops."""
 
 import numpy as np
 
-from reeltide.operators import captions, pictures
+from reeltide.operators import pictures
 
 
 def mirror(i, n):
@@ -45,19 +45,3 @@ def test_measured_frames(spark):
     df = spark.createDataFrame([(1, 64, 64, bytearray(y.tobytes())), (2, 64, 64, None)], "n int, w int, h int, y binary")
     got = pictures.measured(df, ["w", "h", "y"], lambda w, h, d: pictures.black_bars(pictures.plane(d, w, h)), "top int, bottom int, left int, right int").orderBy("n").collect()
     assert [(r.top, r.bottom) for r in got] == [(8, 8), (None, None)]
-
-
-def test_caption_display_sets(spark):
-    u = lambda n, size=2: n.to_bytes(size, "big")
-
-    def pcs(epoch, *objects):
-        return u(1920) + u(1080) + b"\x10" + u(0) + (b"\x80" if epoch else b"\0") + b"\0\1" + bytes([len(objects)]) + b"".join(u(i) + b"\0" + (b"\x40" if forced else b"\0") + u(x) + u(y) for i, x, y, forced in objects)
-
-    palette = bytes([1, 0, 5, 200, 128, 128, 255])
-    body = b"\5\5\0\0" + b"\0\x82\5\0\0"
-    head = u(0, 3) + u(2) + u(2)
-    rows = [(0, 90, 0x16, pcs(True, (7, 10, 20, True))), (1, 90, 0x14, palette), (2, 90, 0x15, u(7) + b"\0\x80" + head + body[:3]), (3, 90, 0x15, u(7) + b"\0\x40" + body[3:]), (4, 90, 0x80, b""), (5, 180, 0x16, pcs(False)), (6, 180, 0x80, b""), (7, 270, 0x16, pcs(True, (7, 0, 0, False))), (8, 270, 0x80, b"")]
-    df = spark.createDataFrame([(1, o, p, k, bytearray(d)) for o, p, k, d in rows], "track int, ord int, pts long, type int, data binary")
-    got = sorted(captions.compositions(df, ["track"]).collect(), key=lambda r: r.pts)
-    assert [(r.pts, r.objects, r.forced, r.x, r.w) for r in got] == [(90, 1, True, 10, 2), (180, 0, False, None, None), (270, 0, False, None, None)]
-    assert bytes(got[0].luma) == bytes([200] * 4) and bytes(got[0].alpha) == bytes([255] * 4)

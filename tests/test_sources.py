@@ -241,7 +241,6 @@ def test_units_and_captions():
     assert elementary.unescaped(b"\0\0\3\1\0\0\3\0\0\3") == b"\0\0\1\0\0\0\0"
     sup = b"".join(b"PG" + u(t, 4) + u(0, 4) + bytes([k]) + u(len(x), 2) + x for t, k, x in ((90, 0x16, b"abc"), (180, 0x80, b"")))
     assert list(elementary.read_sup(sup)) == [(0, 90, 0, 0x16, b"abc"), (1, 180, 0, 0x80, b"")]
-    assert elementary.caption_pixels(b"\5\0\x83\7\0\0" + b"\0\x02\0\0", 5, 3) == b"\5\7\7\7\0" + b"\0" * 10
 
 
 def test_units_of_a_dependent_view():
