@@ -3,7 +3,7 @@
 Labelled page outcomes (bad or good) are counted by host; a beta-binomial prior is passed down from the suffix to the
 registered domain to the host, with strengths fitted by moments from the spread between groups, and a host is blocked when
 the lower posterior bound of its share of bad pages is above a limit. An outcome is a label of the document that a page shows, whose number its path ends with. Names that
-speak for themselves are a list beside the counts, not in them: a host with such a part is blocked whatever its posterior, and the reason says so.
+speak for themselves are prior knowledge, no verdict: a host with such a part has a prior of its own, of NAMED_RATE with the strength of NAMED_STRENGTH pages, which outcomes overrule as they do any prior.
 
 Scale: pages are read as narrow rows (id, host, path); counts are combined before they are shuffled, so a hot host costs one row
 a task; the table of hosts is broadcast only up to a checked number of rows.
@@ -19,9 +19,11 @@ from reeltide.llm.common import durable, look_up, read, strength
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
-#: Parts of a host name (between dots and hyphens) for which it is blocked by name.
+#: Parts of a host name (between dots and hyphens) that give it the prior of NAMED_RATE and NAMED_STRENGTH.
 BAD_PARTS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "track", "viagra", "warez")
 
+NAMED_RATE, NAMED_STRENGTH = 0.9, 20.0
+
 #: Second-level labels under which names are registered one level deeper, as in co.uk.
 SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 #: What stands for the suffix of hosts that are addresses.
@@ -78,10 +80,14 @@ def outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return seen.join(known, "doc_id").groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
 
 
-def reputation(sites: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame:
+def by_name(site: Column, bad_parts: tuple[str, ...]) -> Column:
+    return site.rlike(rf"(^|[.\-])({'|'.join(bad_parts)})([.\-]|$)") if bad_parts else F.lit(False)
+
+
+def reputation(sites: DataFrame, asked: DataFrame, z: float = 1.28, bad_parts: tuple[str, ...] = BAD_PARTS) -> DataFrame:
     """(site, n, bad), and the sites that are asked for -> site, rate, lower: posterior mean and lower bound of the share of bad pages.
 
-    The suffix is shrunk towards the whole, the domain towards its suffix, the host towards its domain. The bound is the mean less z
+    The suffix is shrunk towards the whole, the domain towards its suffix, the host towards its domain, or, if its name has one of `bad_parts`, towards NAMED_RATE with NAMED_STRENGTH. The bound is the mean less z
     posterior standard deviations. Sites without outcomes have the posterior of their domain, of their suffix if that has none either, or of the whole.
     """
     hosts = asked.select("site").distinct().join(sites, "site", "left").select("site", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "bad")])
@@ -98,25 +104,26 @@ def reputation(sites: DataFrame, asked: DataFrame, z: float = 1.28) -> DataFrame
     suffixes = shrunk(sums(["suffix"]), F.lit(base), "suffix_rate").select("suffix", "suffix_rate")
     domains = look_up(sums(["suffix", "domain"]), suffixes, ["suffix"])
     domains = shrunk(domains, F.col("suffix_rate"), "domain_rate").select("domain", "domain_rate")
-    out = shrunk(look_up(hosts, domains, ["domain"]), F.col("domain_rate"), "rate")
+    hosts = look_up(hosts, domains, ["domain"])
+    k, named = F.lit(strength(hosts.where("n > 0"), F.col("domain_rate"))), by_name(F.col("site"), bad_parts)
+    hosts = hosts.withColumns({"k": F.when(named, NAMED_STRENGTH).otherwise(k), "towards": F.when(named, NAMED_RATE).otherwise(F.col("domain_rate"))})
+    out = hosts.withColumns({"rate": (F.col("bad") + F.col("k") * F.col("towards")) / (F.col("n") + F.col("k")), "weight": F.col("n") + F.col("k")})
     return out.select("site", "rate", (F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))).alias("lower"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, limit: float = 0.4, bad_parts: tuple[str, ...] = BAD_PARTS) -> DataFrame:
     """Every page's url judged: page_id, host, path, rule, verdict, reason, rate, lower.
 
-    verdict is that of the longest fitting rule, else block where the host's name has one of `bad_parts`, or where the lower bound of the host, whether it has
-    outcomes or not, is above `limit`, else allow; reason is rule, name or reputation. A null url, one without :// and an empty host have empty parts, no rule and
-    allow. Repeated rows are judged each; an empty table of labels leaves the rules and the names; an empty table of pages gives no rows. Other columns are not read.
+    verdict is that of the longest fitting rule, else block where the lower bound of the host, whether it has outcomes or not, is above `limit`, else allow; reason is rule or reputation. A name with one of `bad_parts` is known to the host's prior only. A null url, one without :// and an empty host have empty parts, no rule and
+    allow. Repeated rows are judged each; an empty table of labels leaves the rules and the priors; an empty table of pages gives no rows. Other columns are not read.
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).withColumn("site", site_of(F.col("host")))
     named = parts.where("site <> ''")
-    known = reputation(outcomes(named, labels.select("doc_id", "quality", "toxic")), named)
+    known = reputation(outcomes(named, labels.select("doc_id", "quality", "toxic")), named, bad_parts=bad_parts)
     rule, verdict = by_rules(F.col("host"), F.col("path"), rules)
-    by_name = F.col("site").rlike(rf"(^|[.\-])({'|'.join(bad_parts)})([.\-]|$)") if bad_parts else F.lit(False)
-    told = look_up(parts, known, ["site"]).withColumns({"rule": rule, "verdict": verdict, "by_name": by_name})
-    judged = F.coalesce("verdict", F.when(F.col("by_name") | (F.col("lower") > limit), "block").otherwise("allow"))
-    reason = F.when(F.col("verdict").isNotNull(), "rule").when(F.col("by_name"), "name").otherwise("reputation")
+    told = look_up(parts, known, ["site"]).withColumns({"rule": rule, "verdict": verdict})
+    judged = F.coalesce("verdict", F.when(F.col("lower") > limit, "block").otherwise("allow"))
+    reason = F.when(F.col("verdict").isNotNull(), "rule").otherwise("reputation")
     return told.select("page_id", "host", "path", "rule", judged.alias("verdict"), reason.alias("reason"), "rate", "lower")
 
 
@@ -131,8 +138,7 @@ ORACLES = {
         SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
     marked AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':\d*$', '') AS site FROM parts),
-    paged AS (SELECT *, regexp_matches(site, '(^|[.\-])(ads|adult|bets|casino|pills|porn|spam|track|viagra|warez)([.\-]|$)') AS by_name,
-               nullif(regexp_extract(path, '/(\d{1,18})[^/]*/?$', 1), '')::BIGINT AS doc_id FROM marked),
+    paged AS (SELECT *, nullif(regexp_extract(path, '/(\d{1,18})[^/]*/?$', 1), '')::BIGINT AS doc_id FROM marked),
     known AS (SELECT doc_id, max((coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1)::INT) AS bad FROM labels
               WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
     hosts AS (SELECT site, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS bad, string_split(site, '.') AS l, regexp_matches(site, '^\d{1,3}(\.\d{1,3}){3}$|^\[') AS address
@@ -149,15 +155,17 @@ ORACLES = {
     dr AS (SELECT domain, (bad + k * up) / (n + k) AS up FROM d, dk),
     h AS (SELECT site, n, bad, up FROM named JOIN dr USING (domain)),
     hk AS (SELECT CASE WHEN coalesce(sum(n * up * (1 - up)), 0) = 0 OR sum(n) = count(*) THEN 2.0 ELSE 1 / least(0.9, greatest(0.02, (sum(n * (bad / n - up) ** 2) / sum(n * up * (1 - up)) - count(*) / sum(n)) / (1 - count(*) / sum(n)))) - 1 END AS k FROM h WHERE n > 0),
-    hr AS (SELECT site, (bad + k * up) / (n + k) AS rate, n + k AS weight FROM h, hk),
-    told AS (SELECT page_id, host, path, by_name, rate - 1.28 * sqrt(rate * (1 - rate) / (weight + 1)) AS lower,
+    hp AS (SELECT site, n, bad, CASE WHEN named THEN 20 ELSE k END AS k, CASE WHEN named THEN 0.9::DOUBLE ELSE up END AS up
+           FROM (SELECT h.*, k, regexp_matches(site, '(^|[.\-])(ads|adult|bets|casino|pills|porn|spam|track|viagra|warez)([.\-]|$)') AS named FROM h, hk)),
+    hr AS (SELECT site, (bad + k * up) / (n + k) AS rate, n + k AS weight FROM hp),
+    told AS (SELECT page_id, host, path, rate - 1.28 * sqrt(rate * (1 - rate) / (weight + 1)) AS lower,
         CASE WHEN host LIKE '%.example.org' OR host = 'example.org' THEN
                   CASE WHEN starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN starts_with(path, '/es/') THEN 'example.org/es/' WHEN starts_with(path, '/') THEN 'org/' END
              WHEN (host LIKE '%.org' OR host = 'org') AND starts_with(path, '/') THEN 'org/'
              WHEN (host LIKE '%.com' OR host = 'com') AND starts_with(path, '/fr/') THEN 'com/fr/'
              WHEN (host LIKE '%.com' OR host = 'com') AND starts_with(path, '/de/') THEN 'com/de/' END AS rule
         FROM paged LEFT JOIN hr USING (site))
-    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN by_name OR lower > 0.4 THEN 'block' ELSE 'allow' END AS verdict,
-        CASE WHEN rule IS NOT NULL THEN 'rule' WHEN by_name THEN 'name' ELSE 'reputation' END AS reason FROM told
+    SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.4 THEN 'block' ELSE 'allow' END AS verdict,
+        CASE WHEN rule IS NOT NULL THEN 'rule' ELSE 'reputation' END AS reason FROM told
     """,
 }
