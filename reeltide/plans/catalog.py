@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reeltide.plans import choices, figures, lookups, scores, sequences, signals
+from reeltide.plans import choices, figures, lookups, scores, sequences, signals, tracks
 
-MODULES = (scores, lookups, sequences, choices, figures, signals)
+MODULES = (scores, lookups, sequences, choices, figures, signals, tracks)
 
 
 def queries() -> dict:
