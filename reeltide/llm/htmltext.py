@@ -2,8 +2,8 @@
 
 A page is cut into blocks at block-level tags; each has its length, the share of it inside links, the share of its words that are stop
 words, and the containers around it. First pass: blocks in menus, headers, footers, sidebars, notices, adverts, forms and comments (by tag, by hidden styles, or where a whole class, id or role
-names one), and blocks that are mostly links, are out; inside an article, headers and such containers as banners and widgets are out only as far as their
-blocks do not read like an article's; blocks of an article and long blocks with enough stop words are in; the rest are undecided:
+names one), and blocks that are mostly links, are out; inside an article, headers and such containers as forms, menus, banners and widgets are out only as far as their
+blocks do not read like an article's, as is what noscript holds, unless the page shows it besides; blocks of an article and long blocks with enough stop words are in; the rest are undecided:
 nearly good, short, or poor. On a page with next to no stop words, one in a language that is not listed, length decides in place of stop words. Second pass: undecided ones take the label of their nearest decided neighbours
 (blocks that their container puts out are no neighbours).
 
@@ -24,17 +24,17 @@ from reeltide.llm.common import read
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not markup; it is skipped up to the closing tag.
-RAW = frozenset("script style noscript template textarea iframe title svg math object select noembed noframes xmp".split())
+RAW = frozenset("script style annotation annotation-xml template textarea iframe title svg object select noembed noframes xmp".split())
 OUT_TAGS = frozenset("nav footer aside form button dialog menu head fieldset label".split())
 IN_TAGS = frozenset(("article", "main"))
 #: Words of a class, id or role that name what is not of the article.
 OUT_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus discussion footer form header masthead menu nav navbar navigation newsletter notice notices pager pagination related replies reply respond share sharing shoutbox sidebar sponsor sponsored subscribe complementary contentinfo".split()
+    "ad ads advert advertisement adverts advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus nav navbar navigation newsletter notice notices pager pagination related replies reply respond share sharing shoutbox sidebar sponsor sponsored subscribe complementary contentinfo".split()
 )
 #: The same, but in an article they also stand for parts of it: there the density rules have the last word.
-LOOSE_WORDS = frozenset("alert banner disclaimer header login modal popup promo promoted search signup skip social tags toolbar widget".split())
+LOOSE_WORDS = frozenset("alert banner disclaimer discussion footer form header login masthead menu modal popup promo promoted search signup skip social tags toolbar widget".split())
 #: Words that say where or how a container stands, not what is in it.
-PLACES = frozenset("area bar block body bottom box center col column container content desktop fixed global group inner item items left links list main mobile off outer page primary right row secondary section site small sticky text top unit wrap wrapper zone".split())
+PLACES = frozenset("area bar bars block body bottom box button buttons center col column container content count counts desktop fixed global group icon icons inner item items left links list main mobile off outer page primary right row secondary section site small sticky text tool tools top unit widgets wrap wrapper zone".split())
 #: After these a word says what the container has or lacks.
 TURNS = frozenset("has hide hides is js no non not show toggle with without".split())
 #: Closed by the next tag of one of these kinds, if still open.
@@ -79,7 +79,10 @@ def _marks(attributes: str) -> int:
             for token in value.split():
                 if _names(token, OUT_WORDS):
                     return 2
-                out = max(out, int(_names(token, LOOSE_WORDS)))
+                if _names(token, LOOSE_WORDS):
+                    if "site" in (p.lower() for p in _PART.findall(token)):  # the site's, not the article's
+                        return 2
+                    out = 1
     return out
 
 
@@ -146,7 +149,7 @@ def blocks(page: str) -> list[Told]:
     def cut() -> Block:
         if current.parts:
             found.append(current)
-        return Block(opened.block_tag(), *opened.top())
+        return Block("noscript" if opened.count.get("noscript") else opened.block_tag(), *opened.top())
 
     while i < n:
         j = page.find("<", i)
@@ -206,6 +209,8 @@ def blocks(page: str) -> list[Told]:
             out = 2
         elif tag == "header":
             out = max(out, 1 if inside else 2)
+        elif tag == "noscript":  # often a notice or a picture, on lazy pages the article
+            out = max(out, 1)
         elif attributes and tag not in ("html", "body") and tag not in IN_TAGS:
             mark = _marks(attributes)
             out = max(out, mark if inside else 2 * mark)
@@ -221,7 +226,8 @@ def blocks(page: str) -> list[Told]:
         if text:
             linked = sum(len("".join(p.split())) for p, is_link in zip(b.parts, b.linked, strict=True) if is_link)
             told.append((text, b.tag, linked / max(1, sum(len("".join(p.split())) for p in b.parts)), b.inside, b.out))
-    return told
+    shown = {b[0] for b in told if b[1] != "noscript"}
+    return [b for b in told if b[1] != "noscript" or b[0] not in shown]
 
 
 def stop_share(text: str) -> float:
@@ -241,7 +247,8 @@ def first_pass(found: list[Told]) -> list[str]:
         if out == 2:
             first.append("gone")
         elif out == 1:  # only what reads like running text, or is a heading, stays
-            good = linked <= MANY_LINKS and (tag in HEADINGS or tag == "p" or (len(text) >= LONG and (foreign or density >= MANY_STOPS)))
+            running = tag == "p" and (len(text) >= SHORT or density >= FEW_STOPS)
+            good = linked <= MANY_LINKS and not text.lower().startswith(RIGHTS) and (tag in HEADINGS or running or (len(text) >= LONG and (foreign or density >= MANY_STOPS)))
             first.append("in" if good else "gone")
         elif article and inside:
             first.append("in" if linked <= 0.8 or len(text) >= LONG else "short")

@@ -267,6 +267,64 @@ def test_extract_repeated_rows_and_nothing(spark):
     assert htmltext.extract(df.limit(0)).count() == 0
 
 
+GOOD = "This is a good long paragraph of the article that has many of the words that one would expect in it, and it is not a menu or a list of names at all, as it goes on."
+
+
+@pytest.mark.parametrize("name", ["header-content", "form-group", "discussion", "menu", "footer", "page-header", "main_menu"])
+def test_an_article_may_call_its_parts_by_such_names(name):
+    assert htmltext.main_text(f'<article><div class="{name}"><p>{GOOD}</p></div><p>x y</p></article>') == f"{GOOD}\nx y"
+    assert htmltext.main_text(f'<main><p>{GOOD}</p><div class="{name}"><span>Home</span><p>Send</p></div></main>') == GOOD
+    assert htmltext.main_text(f'<body><p>{GOOD}</p><div class="{name}"><p>{GOOD}</p></div></body>') == GOOD
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "site-nav", "cookie-bar", "ads", "share", "share-buttons", "social-icons", "post_comments"])
+def test_these_names_put_out_what_they_hold(name):
+    assert htmltext.main_text(f'<body><p>{GOOD}</p><div class="{name}"><span>Share</span></div></body>') == GOOD
+    if "social" not in name:
+        assert htmltext.main_text(f'<article><p>{GOOD}</p><div class="{name}"><p>{GOOD} Not this.</p></div></article>') == GOOD
+
+
+def test_formulas_stay_and_noscript_is_no_twin():
+    assert htmltext.main_text('<article><p>where <math><mi>a</mi><mo>+</mo><mi>b</mi><annotation encoding="tex">a+b</annotation></math> is</p></article>') == "where a+b is"
+    assert htmltext.main_text(f"<body><div><noscript><p>{GOOD}</p></noscript></div></body>") == GOOD
+    assert htmltext.main_text(f"<article><p>{GOOD}</p><noscript><p>{GOOD}</p></noscript><noscript>Please enable JavaScript to view this page.</noscript></article>") == GOOD
+
+
+def brute_first(found):
+    """The first pass from its description, block by block."""
+    article = any(b[3] and b[4] < 2 for b in found)
+    asked = [b for b in found if b[4] == 1 or (b[4] == 0 and not (article and b[3]))]
+    asked = [b for b in asked if b[2] <= 0.3]
+    foreign = sum(len(b[0]) * htmltext.stop_share(b[0]) for b in asked) < 0.06 * sum(len(b[0]) for b in asked)
+    for text, tag, linked, inside, out in found:
+        dense, long, rights = htmltext.stop_share(text), len(text) >= 140, text.lower().startswith(htmltext.RIGHTS)
+        few = linked <= 0.3
+        if out == 2:
+            yield "gone"
+        elif out == 1:
+            running = tag == "p" and (len(text) >= 70 or dense >= 0.12)
+            yield "in" if few and not rights and (tag in htmltext.HEADINGS or running or (long and (foreign or dense >= 0.3))) else "gone"
+        elif article and inside:
+            yield "in" if linked <= 0.8 or long else "short"
+        elif rights or not few:
+            yield "out"
+        elif len(text) < 70 and tag != "p":
+            yield "short"
+        elif long and (foreign or dense >= 0.3):
+            yield "in"
+        else:
+            yield "near" if foreign or dense >= 0.12 or len(text) < 70 else "poor"
+
+
+def test_first_pass_against_brute_force():
+    rng = random.Random(44)
+    words_ = ["the", "of", "and", "is", "Paris", "list", "stone", "quarz", "blue"]
+    for k in range(300):
+        found = [(" ".join(rng.choice(words_[(4 if k % 3 == 0 else 0) :]) for _ in range(rng.randrange(1, 60))), rng.choice(["p", "div", "h2", "noscript"]), rng.choice([0, 0.2, 0.5, 1.0]), rng.random() < 0.3 and k % 2 == 0, rng.choice([0, 0, 1, 2])) for _ in range(rng.randrange(1, 12))]
+        found += [("Copyright of this", "p", 0.0, False, rng.choice([0, 1]))] * (k % 2)
+        assert htmltext.first_pass(found) == list(brute_first(found))
+
+
 # --- 3 fingerprints
 
 
@@ -539,6 +597,8 @@ def test_linked_pairs_share_a_rare_part(counted):
     first = [set(np.concatenate([h for h, _ in neardup.rarest(t, counts)]).tolist()) for t in tok]
     linked = [(i, j) for i in range(len(tok)) for j in range(i) if neardup.alike(tok[i], tok[j])]
     assert len(linked) > 30 and all(first[i] & first[j] for i, j in linked)
+    may = neardup.possible(np.stack([np.frombuffer(neardup.outline(t), "<u8") for t in tok]))
+    assert all(may[i, j] and may[j, i] for i, j in linked) and not may.all()
 
 
 def test_a_template_family_of_two_thousand(spark):
@@ -693,6 +753,17 @@ def test_new_host_has_the_posterior_of_its_domain(spark):
     assert got[5000].rate > 0.9 and got[5003].rate is None
 
 
+def test_outcomes_overrule_what_a_name_says(spark):
+    """A host whose name speaks against it is blocked without outcomes, and allowed once enough of its pages turn out to be good; every block is above the limit."""
+    pages = [(1, "http://casino-new.com/about")] + [(100 + i, f"http://www.casino-museum.net/{100 + i}") for i in range(60)] + [(300 + i, f"http://casino-two.net/{300 + i}") for i in range(3)] + [(400 + i, f"http://plain{i % 9}.net/{400 + i}") for i in range(90)]
+    labels = [(100 + i, 1, 0) for i in range(60)] + [(300 + i, 1, 0) for i in range(3)] + [(400 + i, 1, 0) for i in range(90)]
+    df, lab = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = urlfilter.judge(df, lab).collect()
+    told = {r.host: r.verdict for r in got}
+    assert told["casino-new.com"] == "block" and told["www.casino-museum.net"] == "allow" and told["casino-two.net"] == "block" and told["plain1.net"] == "allow"
+    assert all(r.lower > 0.4 for r in got if r.verdict == "block")
+
+
 def test_ports_addresses_and_suffixes(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "t.co", "x.t.co", "u:p@a.b.com:8080", "10.0.0.1:80", "10.0.0.1", "[::1]:8080", "localhost", "a.gouv.fr", "shop.casino.net"]
     rows = spark.createDataFrame([(h,) for h in hosts], "host string").withColumn("site", urlfilter.site_of(F.col("host")))
@@ -701,7 +772,7 @@ def test_ports_addresses_and_suffixes(spark):
     pages = spark.createDataFrame([(i, f"http://{h}/{'p' * 50_000 if i == 0 else i}", 5) for i, h in enumerate([*hosts, hosts[0]])], "page_id long, url string, host int")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     told = urlfilter.judge(pages, labels)
-    assert told.count() == 12 and [r.page_id for r in told.where("verdict = 'block' AND reason = 'name'").collect()] == [10]
+    assert told.count() == 12 and [r.page_id for r in told.where("verdict = 'block' AND reason = 'reputation' AND lower > 0.4").collect()] == [10]
     assert urlfilter.judge(pages.limit(0), labels).count() == 0
     assert urlfilter.judge(pages, labels, bad_parts=()).where("verdict = 'block'").count() == 0
 
