@@ -59,6 +59,16 @@ def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.ridge(l, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "w", 10.0, "l_returnflag")
 
 
+def held_out_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount", "l_tax", "l_extendedprice", (F.col("l_linenumber") / 7).alias("w"))
+    return measures.ridge_errors(l, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "w", 10.0, "l_returnflag")
+
+
+def from_best_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean, the element 1 % from the worst end where low is bad, and the worst."""
+    return measures.from_worst(events(spark, sf_dir), ["event_type"], "value", high_is_bad=False)
+
+
 def bd_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part sizes stand for the quality, prices for the bytes of a configuration (line status and return flag)."""
     l = table(spark, sf_dir, "lineitem").withColumn("config", F.concat("l_returnflag", "l_linestatus"))
@@ -121,7 +131,7 @@ def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        worst_end, indexed_median, line_height, elementwise_min, two_level_mean, ratio_of_sums, frame_spacing, span, fit_scale_offset, ridge, bd_rate, isotonic_curve, psnr_cap,
+        worst_end, indexed_median, line_height, elementwise_min, two_level_mean, ratio_of_sums, frame_spacing, span, fit_scale_offset, ridge, held_out_errors, from_best_end, bd_rate, isotonic_curve, psnr_cap,
         slug, channels_regex, clock_format, ticks, plain_text, rates, tone_map, sizes,
     )
 }
@@ -172,8 +182,13 @@ _BD = f"""WITH p AS (SELECT l_linenumber AS k, l_returnflag || l_linestatus AS c
         FROM q JOIN s a ON a.k = q.k AND a.config = 'AF' AND q.q > a.x AND q.q <= a.x + a.h JOIN s b ON b.k = q.k AND b.config = q.config AND q.q > b.x AND q.q <= b.x + b.h)
     SELECT k AS l_linenumber, config, round((exp(avg(({_CUBIC.replace("nm", "nmb").replace("ny", "nyb").replace(" y ", " yb ").replace("* h ", "* hb ").replace("* m ", "* mb ").replace("t", "tb")}) - ({_CUBIC.replace("nm", "nma").replace("ny", "nya").replace(" y ", " ya ").replace("* h ", "* ha ").replace("* m ", "* ma ").replace("t", "ta")}))) - 1) * 100, 6) AS bd_rate FROM v GROUP BY k, config"""
 
+_ERRORS = _RIDGE.rsplit("SELECT g AS l_returnflag", 1)[0] + f"""SELECT z.g AS l_returnflag, count(*) AS rows, round(avg(abs(y - p)), 3) AS mean_error, round(avg(y - p), 3) AS bias
+    FROM (SELECT z.g, z.y, {' + '.join(f'round(x{i}, 4) * z{i}' for i in range(_N))} AS p FROM z JOIN t0 ON t0.g = z.g) z GROUP BY z.g"""
+
 ORACLES = {
     "ridge": _RIDGE,
+    "held_out_errors": _ERRORS,
+    "from_best_end": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, list_sort(list(value))[count(*) // 100 + 1] AS tail, min(value) AS worst FROM events GROUP BY event_type",
     "isotonic_curve": _ISOTONIC,
     "bd_rate": _BD,
     "worst_end": "SELECT event_type, count(*) AS n, list_sort(list(value))[count(*) - count(*) // 100] AS p1 FROM events GROUP BY event_type",

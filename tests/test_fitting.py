@@ -53,3 +53,24 @@ def test_maps_are_recovered_among_outliers(spark):
         for x, y in ((0, 0), (500, 300), (250, 10)):
             to = lambda m: np.array([m[0] * x + m[1] * y + m[2], m[3] * x + m[4] * y + m[5]]) / (m[6] * x + m[7] * y + 1)
             assert np.abs(to(h) - to(got[k].map)).max() < 0.2
+
+
+def test_errors_of_what_was_left_out(spark):
+    from reeltide.operators import measures
+
+    rng = np.random.default_rng(5)
+    data = [(g, float(x), float(3 * x + 2 + (10 if g == "odd" else 0)), 1.0) for g in ("a", "b", "odd") for x in rng.normal(size=50)]
+    got = {r.g: r for r in measures.ridge_errors(spark.createDataFrame(data, "g string, x double, y double, w double"), ["x"], "y", "w", 1e-6, "g").collect()}
+    assert all(r.rows == 50 for r in got.values()) and abs(got["odd"].bias - 10) < 1e-2 and abs(got["odd"].mean_error - 10) < 1e-2 and got["a"].bias < -3
+
+
+@pytest.mark.parametrize("high", [True, False])
+def test_measures_from_the_worst_end(spark, high):
+    from reeltide.operators import measures
+
+    rng = random.Random(6)
+    data = [(k, rng.choice([rng.random(), 0.5])) for k, n in (("one", 1), ("few", 99), ("many", 6000)) for _ in range(n)] + [("few", None), ("few", float("nan"))]
+    got = {r.k: r for r in measures.from_worst(spark.createDataFrame(data, "k string, v double"), ["k"], "v", high).collect()}
+    for k in got:
+        own = sorted((v for kk, v in data if kk == k and v is not None and v == v), reverse=high)
+        assert (got[k].n, got[k].tail, got[k].worst) == (len(own), own[len(own) // 100], own[0]) and abs(got[k].mean - sum(own) / len(own)) < 1e-5
