@@ -1,6 +1,6 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in SQL expressions.
 
-Candidates are values after = or a colon (quoted ones, and unquoted ones after a name that speaks of secrets), passwords in URLs, and long runs of token
+Candidates are values after = or a colon (quoted ones, and unquoted ones after a name that speaks of secrets), passwords in URLs, signed tokens whose parts are joined by dots, and long runs of token
 characters; a name before = is never part of its value. The forest reads their length, character classes and transitions, dictionary coverage, the path
 (source) and the neighbouring words. It is trained on labelled findings, lines scanned as any text is; where none are given, on lines made from templates of
 known kinds (`made_lines`), the same in every run. The dictionary are the words of the corpus itself that make up RATE of all its words or more, so at most
@@ -35,6 +35,7 @@ CANDIDATE = "|".join(
         rf"""(?<=[=:] ?)(?<=(?i:{SECRET_WORDS})[\w\-]{{0,20}}["']? ?[=:] ?)[^\s"'<>,;&]{{8,}}+""",
         r"""(?<=:)(?<=://[^\s:/@]{1,40}:)[^\s@/:]{6,}+(?=@)""",
         r"""(?<=[Bb]earer )[^\s"'<>,;]{8,}+""",
+        r"""(?:eyJ[A-Za-z0-9_\-]{8,}+|SG(?=\.))(?:\.[A-Za-z0-9_\-]{10,}+){1,2}""",
         r"""[A-Za-z0-9+/_\-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_\-=]))?""",
     )
 )
@@ -118,7 +119,11 @@ def made_lines(spark: SparkSession, n: int = 5000) -> DataFrame:
     base = base.selectExpr("*", "concat(base64(unhex(h)), base64(unhex(h2))) AS both", f"transform(array(1, 5, 9, 13), i -> {known}[cast(conv(substr(h, i, 4), 16, 10) as int) % {len(DICTIONARY)}]) AS w")
     base = base.selectExpr("*", "translate(both, '+/=', 'pQr') AS b64", "regexp_replace(both, '[^A-Za-z]', '') AS letters")
     rows = base.selectExpr("id", f"{value} AS value", f"{line} AS line", f"{name} AS name", f"cast({kind} < 4 as double) AS label", f"{source} AS source")
-    return rows.selectExpr("replace(replace(concat('and then ', line, '\\n the end'), '%n', name), '%v', value) AS text", "value", "label", "source")
+    told = rows.selectExpr("replace(replace(concat('and then ', line, '\\n the end'), '%n', name), '%v', value) AS text", "value", "label", "source")
+    signed = f"CASE WHEN id % 3 > 0 THEN concat('eyJ', substr(b64, 1, 17 + id % 20), '.eyJ', substr(b64, 5, 40 + id % 37), '.', substr(b64, 20, 32 + id % 12)) ELSE concat('SG.', substr(b64, 1, 22), '.', substr(b64, 30, 43)) END"
+    around = pick(["the call sends %v and waits", "%v", "cookie: session=%v; path=/", "Authorization: Bearer %v", "key %v in the log", "see https://x.example.com/a?t=%v&x=1"], 13, True)
+    tokens = base.where(f"id < {n // 10}").selectExpr("id", f"{signed} AS value", f"{around} AS line", f"{source} AS source")
+    return told.unionByName(tokens.selectExpr("replace(concat('and then ', line, '\\n the end'), '%v', value) AS text", "value", "1D AS label", "source"))
 
 
 def train(lines: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> str:
