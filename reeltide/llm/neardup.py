@@ -7,7 +7,8 @@ components of the links.
 
 Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
 text, the one that most sketches agree on), never all pairs; then one text of each class with one of a centre. This only saves work, no link depends on it. What is left are texts in buckets that still hold several classes.
-They meet by an exact prefix filter: a text's shingles, and its words with their occurrence numbers, are ordered from rare to frequent (by counts of hashed SLOTS over these texts), and two texts can only be linked if they share one of the rarest fifth of their
+Those of small buckets are compared one by one, by outlines that no linked pair fails. Those of larger ones
+meet by an exact prefix filter: a text's shingles, and its words with their occurrence numbers, are ordered from rare to frequent (by counts of hashed SLOTS over these texts), and two texts can only be linked if they share one of the rarest fifth of their
 shingles or the rarest tenth of their words, at places that leave room for the overlap asked for. Texts of a template share its frequent shingles, not rare ones, so their pairs never become rows. Texts move once to be turned into word numbers, of candidates only afterwards.
 Hot texts of stars, and hot shingles, are joined as one row a key against many, which AQE splits.
 """
@@ -17,10 +18,11 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reeltide.llm.common import durable, durable_in_loop, read, release
@@ -37,6 +39,10 @@ DIRECT = 4096
 PIECE = 1 << 15
 #: Counters of shingles and words by hash, one table of 1 MB. Any counts give a right order; true ones give short lists.
 SLOTS = 1 << 18
+#: Numbers of 64 bins each that outline a text's shingles, and its words; texts of a bucket whose pairs are looked at one by one.
+LANES, BLOCK = 16, 64
+#: Rarer parts of its text that a part carries, so that a pair that shares many leaves few rows.
+EARLIER = 16
 #: Rounds of stars around changing centres, after the first one.
 ROUNDS = 1
 
@@ -76,7 +82,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         told = [(words(codepoints(x.as_py() or ""))[0] >> np.uint64(32)).astype("<u4") for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([x.tobytes() for x in told], pa.binary())], ["tid", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([x.tobytes() for x in told], pa.binary()), pa.array([outline(x) for x in told], pa.binary())], ["tid", "words", "outline"])
 
 
 def parts(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,30 +121,82 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000].astype(np.int32)), pa.array(total[at[i : i + 50_000]])], ["slot", "n"])
 
 
+def bits(h: np.ndarray) -> np.ndarray:
+    """Which of 64 * LANES bins the hashes are in, as LANES numbers."""
+    out = np.zeros(64 * LANES, np.uint8)
+    out[((h >> np.uint64(40)) % np.uint64(64 * LANES)).astype(np.int64)] = 1
+    return np.packbits(out, bitorder="little").view("<u8")
+
+
+def outline(a: np.ndarray) -> bytes:
+    """How many distinct shingles and how many words a text has, and the bins of both."""
+    s, w = parts(a)
+    return np.array([s.size, w.size], "<u8").tobytes() + bits(s).tobytes() + bits(w).tobytes()
+
+
+def possible(x: np.ndarray) -> np.ndarray:
+    """Which pairs of outlines (rows of numbers) may be linked: no pair that alike() links is left out, as what is in a bin that the other has not cannot be shared."""
+    n = x[:, :2].astype(np.int64)
+    out = np.zeros((len(x), len(x)), bool)
+    for kind, (share, both) in enumerate(((SIMILARITY, True), (ALIGNED, False))):
+        b, size = x[:, 2 + kind * LANES : 2 + (kind + 1) * LANES], n[:, kind]
+        for i in range(len(x)):
+            mine, theirs = np.bitwise_count(b[i] & ~b).sum(axis=1, dtype=np.int64), np.bitwise_count(b & ~b[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(size[i] - mine, size - theirs)
+            out[i] |= most >= (share * (size[i] + size - most) if both else share * np.maximum(size[i], size)) - 1e-6
+    return out
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(x, y) of small buckets: what is of different classes and may be linked."""
+    for batch in batches:
+        found: set[tuple[bytes, bytes]] = set()
+        for texts in batch.column("texts"):
+            tids, roots, outlines = texts.values.flatten()
+            x = np.frombuffer(b"".join(outlines.to_pylist()), "<u8").reshape(len(outlines), -1)
+            roots = roots.to_numpy()
+            ok, tids = np.triu(possible(x), 1) & (roots[:, None] != roots[None, :]), tids.to_pylist()
+            found.update((min(tids[i], tids[j]), max(tids[i], tids[j])) for i, j in zip(*np.nonzero(ok), strict=True))
+        if found:
+            x, y = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["x", "y"])
+
+
 def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> DataFrame:
-    """(x, y): of the texts in buckets with several classes, all pairs of different classes that may be linked."""
+    """(x, y): of the texts in buckets with several classes, all pairs of different classes that may be linked. Small buckets are looked at one by one, larger ones by the rare parts of their texts."""
     rows = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").select("sketch", "tid", F.xxhash64(F.coalesce("root", "tid")).alias("root"))
-    several = rows.groupBy("sketch").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("sketch")
-    left = rows.join(several, "sketch", "left_semi").select("tid", "root").distinct()
-    texts = durable_in_loop(left.join(numbers, "tid").select("tid", "root", "words"))
+    several = rows.groupBy("sketch").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("sketch", (F.col("n") > BLOCK).alias("large"))
+    rows = durable_in_loop(rows.join(several, "sketch"))
+    small = rows.where("NOT large").select("sketch", "tid", "root").join(numbers.select("tid", "outline"), "tid")
+    small = small.groupBy("sketch").agg(F.collect_list(F.struct("tid", "root", "outline")).alias("texts")).select("texts").mapInArrow(_near, "x binary, y binary")
+    large = _by_rare_parts(rows.where("large").select("tid", "root").distinct().join(numbers.select("tid", "words"), "tid"))
+    return small.unionByName(large).distinct()
+
+
+def _by_rare_parts(texts: DataFrame) -> DataFrame:
+    """(x, y) of all texts (tid, root, words) of different classes that may be linked: those that share one of their rarest parts, at places and with bins that leave room for the overlap asked for."""
+    texts = durable_in_loop(texts.select("tid", "root", "words"))
     counts = np.zeros(SLOTS, np.uint32)
     found = texts.select("words").mapInArrow(_counted, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows of two numbers
     counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**32 - 1)
-    spark = shared.sparkSession
-    table = spark.sparkContext.broadcast(counts)
+    table = texts.sparkSession.sparkContext.broadcast(counts)
+    lanes = [f"b{i}" for i in range(LANES)]
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            n = [h.size for _, _, h, _ in held]
-            cols = [pa.array(np.concatenate([h for _, _, h, _ in held]).view(np.int64)), pa.array([t for t, k in zip((t for t, *_ in held), n, strict=True) for _ in range(k)], pa.binary())]
-            cols += [pa.array(np.repeat([v[i] for v in held], n)) for i in (1, 3)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.arange(k) for k in n]))], ["part", "tid", "root", "size", "place"])
+            n = [h.size for _, _, h, _, _ in held]
+            cols = [pa.array(np.concatenate([x[2] for x in held]).view(np.int64)), pa.array([x[0] for x, k in zip(held, n, strict=True) for _ in range(k)], pa.binary())]
+            cols += [pa.array(np.repeat([x[i] for x in held], n)) for i in (1, 3)]
+            bins = np.repeat(np.array([x[4] for x in held]).view(np.int64), n, axis=0)
+            earlier = pa.array([x[2].view(np.int64)[max(0, i - EARLIER) : i] for x in held for i in range(x[2].size)], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate([np.arange(k) for k in n])), *[pa.array(bins[:, i]) for i in range(LANES)], earlier], ["part", "tid", "root", "size", "place", *lanes, "earlier"])
 
         held, rows = [], 0
         for batch in batches:
             for tid, root, x in zip(batch.column("tid").to_pylist(), batch.column("root").to_pylist(), batch.column("words"), strict=True):
-                for h, size in rarest(np.frombuffer(x.as_py(), "<u4"), table.value):
-                    held.append((tid, root, h, size))
+                a = np.frombuffer(x.as_py(), "<u4")
+                for (h, size), whole in zip(rarest(a, table.value), parts(a), strict=True):
+                    held.append((tid, root, h, size, bits(whole)))
                     rows += h.size
                 if rows > 20_000:
                     yield out()
@@ -146,17 +204,19 @@ def _remaining(shared: DataFrame, labels: DataFrame, numbers: DataFrame) -> Data
         if held:
             yield out()
 
-    listed = durable_in_loop(texts.mapInArrow(first, "part long, tid binary, root long, size long, place long"))
+    listed = durable_in_loop(texts.mapInArrow(first, "part long, tid binary, root long, size long, place long, " + ", ".join(f"{b} long" for b in lanes) + ", earlier array<long>"))
     table.destroy()
-    shared_parts = listed.groupBy("part").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("part")
-    met = listed.join(shared_parts, "part")
-    x, y = (met.select("part", *[F.col(c).alias(f"{n}_{c}") for c in ("tid", "root", "size", "place")]) for n in "xy")
-    word, both = F.col("part") % 2 == 0, F.col("x_size") + F.col("y_size")
-    most = F.least(F.col("x_size") - F.col("x_place"), F.col("y_size") - F.col("y_place"))  # what can still be shared from here on
-    longer, shorter = F.greatest("x_size", "y_size"), F.least("x_size", "y_size")
-    room = F.when(word, (most >= ALIGNED * longer - 1e-6) & (shorter >= ALIGNED * longer - 1e-6)).otherwise((most >= SIMILARITY / (1 + SIMILARITY) * both - 1e-6) & (shorter >= SIMILARITY * longer - 1e-6))
-    pairs = x.join(y, "part").where((F.col("x_root") < F.col("y_root")) & room)
-    return pairs.select(F.least("x_tid", "y_tid").alias("x"), F.greatest("x_tid", "y_tid").alias("y")).distinct()
+    here = Window.partitionBy("part")
+    met = listed.withColumns({"a": F.min("root").over(here), "b": F.max("root").over(here)}).where("a <> b").drop("a", "b")
+    x, y = (met.select("part", *[F.col(c).alias(f"{n}_{c}") for c in ("tid", "root", "size", "place", *lanes, "earlier")]) for n in "xy")
+    word = F.col("part") % 2 == 0
+    alone = lambda n, m: reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{n}_{b}").bitwiseAND(F.bitwise_not(F.col(f"{m}_{b}")))) for b in lanes])
+    most = F.least(F.col("x_size") - F.greatest(F.col("x_place"), alone("x", "y")), F.col("y_size") - F.greatest(F.col("y_place"), alone("y", "x")))  # what can be shared from here on
+    longer, both = F.greatest("x_size", "y_size"), F.col("x_size") + F.col("y_size")
+    room = most >= F.when(word, ALIGNED * longer).otherwise(SIMILARITY / (1 + SIMILARITY) * both) - 1e-6
+    new = ~F.arrays_overlap("x_earlier", "y_earlier")  # a pair that shares an earlier part has met there, with more room
+    pairs = x.join(y, "part").where((F.col("x_root") < F.col("y_root")) & room & new)
+    return pairs.select(F.least("x_tid", "y_tid").alias("x"), F.greatest("x_tid", "y_tid").alias("y"))
 
 
 def _centred(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -353,7 +413,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     needed = shared.select("tid").distinct().join(texts.select("tid", named("id").alias("own")), "tid")
     own = rows.select(text_id().alias("tid"), named("doc_id").alias("own"), "text")
-    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary").dropDuplicates(["tid"]))
+    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary, outline binary").dropDuplicates(["tid"]))
 
     release(docs.sparkSession)  # the shuffled texts
     tested = _verify(pairs, numbers)
