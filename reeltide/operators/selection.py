@@ -96,20 +96,23 @@ def best(df: DataFrame, keys: list[str], rank: list[Column], carry: list[str]) -
 
 
 def best_by_language(df: DataFrame, keys: list[str], lang: str, ident: str, rank: list[Column], langs: list[str], carry: list[str]) -> DataFrame:
-    """The best track of each requested language in the order of the request, a track being used once.
+    """The best track of each requested language in the order of the request, a track being used once: keys, carry, place.
 
-    One step a requested language (a short list given by the caller); languages that share spellings see what earlier ones took.
+    The input is read once: a place needs no more than its own number and one of the best tracks of its language, as those before it took no more, so each place keeps so many, and the few that are left of a key are dealt out in one row. Tracks of equal rank go by `ident`.
     """
-    taken, out = None, None
-    for place, one in enumerate(langs):
-        pool = df.where(language(F.col(lang)).isin(*spelled([one])))
-        if taken is not None:
-            pool = pool.join(taken, [*keys, ident], "left_anti")
-        now = best(pool, keys, rank, carry).withColumn("place", F.lit(place))
-        out = now if out is None else out.unionByName(now)
-        mine = now.select(*keys, ident)
-        taken = mine if taken is None else taken.unionByName(mine)
-    return out
+    asked = F.array(*[F.struct(F.lit(i).alias("place"), F.array(*[F.lit(x) for x in spelled([one])]).alias("of")) for i, one in enumerate(langs)])
+    fits = F.transform(F.filter(asked, lambda a: F.array_contains(a["of"], language(F.col(lang)))), lambda a: a["place"])
+    pool = df.withColumn("_r", F.struct(*rank)).select(*keys, F.col(ident).alias("_i"), F.struct(*carry).alias("_c"), "_r", F.explode(fits).alias("_p"))
+    pool = pool.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(F.desc("_r"), "_i"))).where(F.col("_n") <= len(langs)).where(F.col("_n") <= F.col("_p") + 1)
+    few = pool.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_p", "_n", "_i", "_c"))).alias("_all"))
+    start = F.filter("_all", lambda _: F.lit(False))
+
+    def deal(taken: Column, place: Column) -> Column:
+        free = F.filter("_all", lambda t: (t["_p"] == place) & ~F.exists(taken, lambda x: x["_i"] == t["_i"]))
+        return F.concat(taken, F.slice(free, 1, 1))
+
+    dealt = few.select(*keys, F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(len(langs) - 1)), start, deal)).alias("_t"))
+    return dealt.select(*keys, F.col("_t._c.*"), F.col("_t._p").alias("place"))
 
 
 def fallbacks(kept: DataFrame, offered: DataFrame, keys: list[str], ident: str, rank: list[Column]) -> DataFrame:

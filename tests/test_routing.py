@@ -83,3 +83,25 @@ def test_groups_and_entries(spark):
     b = F.expr("i div 4")
     assert sorted(map(tuple, routing.group_lengths(df, ["k"], ["i"], b, F.col("key")).collect())) == [("a", 0, 3), ("a", 1, 1), ("a", 2, 4), ("a", 3, 2), ("b", 1, 1)]
     assert sorted(map(tuple, routing.entry_points(df, ["k"], ["i"], b, F.col("key"), ["i"]).collect())) == [("a", 3, 3), ("a", 4, 4), ("a", 8, 8), ("b", 0, 0)]
+
+
+def test_best_by_language_against_a_loop(spark):
+    """Requests whose spellings overlap, repeat or fit nothing; ties; a null language; each track once."""
+    import random
+
+    from reeltide.operators import selection
+
+    rng = random.Random(12)
+    data = [(s, i, rng.choice(["spa", "esp", "ESP ", "por", "pob", "eng", None, "und"]), rng.randrange(3)) for i in range(120) for s in [rng.choice("abcde")]]
+    df = spark.createDataFrame(data, "src string, i int, lang string, q int")
+    asked = ["es", "spa", "pt", "por", "xx", "und", "es"]
+    got = sorted((r.src, r.place, r.i) for r in selection.best_by_language(df, ["src"], "lang", "i", [F.col("q")], asked, ["i"]).collect())
+    want = []
+    for s in "abcde":
+        taken = set()
+        for place, one in enumerate(asked):
+            pool = [(-q, i) for src, i, lang, q in data if src == s and i not in taken and ((lang or "und").strip().lower()) in selection.spelled([one])]
+            if pool:
+                taken.add(min(pool)[1])
+                want.append((s, place, min(pool)[1]))
+    assert got == sorted(want)
