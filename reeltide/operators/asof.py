@@ -35,6 +35,13 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, carry: dic
     return out.select(*left.columns, *[F.col(f"_f.{n}").alias(n) for n in carry.values()])
 
 
+def offset_at(left: DataFrame, groups: DataFrame, keys: list[str], t: str, offsets: str, frame: int, width: int, out: str) -> DataFrame:
+    """left with the offset in force at its time: of the last group at or before it the element of `offsets` by how many whole frames have passed since, the last one once the group has run out; null before the first group, and for a group without offsets."""
+    found = as_of(left, groups.withColumn("_from", F.col(t)), keys, t, {"_from": "_from", offsets: "_offsets"}, width)
+    place = F.least(F.floor((F.col(t) - F.col("_from")) / frame), F.size("_offsets") - 1).cast("int")
+    return found.withColumn(out, F.get("_offsets", place)).drop("_from", "_offsets")
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], t: str, tolerance: int, carry: dict[str, str]) -> DataFrame:
     """left with the columns of the right row nearest in time, at most `tolerance` away, the earlier one on a tie; null where none is.
 

@@ -38,6 +38,13 @@ def zipped(a: DataFrame, b: DataFrame, keys: list[str], order_a: list, order_b:
     return a.withColumn("place", n(order_a)).join(b.withColumn("place", n(order_b) - skip).where("place >= 0"), [*keys, "place"])
 
 
+def zipped_checked(a: DataFrame, b: DataFrame, keys: list[str], order_a: list, order_b: list, index_a: str, index_b: str) -> DataFrame:
+    """zipped(), of layers whose display indexes must agree: the first pair that does not fails the query and says where."""
+    said = F.concat(F.lit("place "), F.col("place"), F.lit(": indexes "), F.coalesce(F.col(index_a).cast("string"), F.lit("null")), F.lit(" and "), F.coalesce(F.col(index_b).cast("string"), F.lit("null")))
+    pairs = zipped(a, b, keys, order_a, order_b)
+    return pairs.withColumn(index_a, F.when(F.col(index_a).eqNullSafe(F.col(index_b)), F.col(index_a)).otherwise(F.raise_error(said)))
+
+
 def merged(sources: list[DataFrame], keys: list[str], t: str, order: list[str], out: str) -> DataFrame:
     """All rows in the order of their times, the earlier source first on a tie: `source` and the place `out` within the key."""
     rows = None

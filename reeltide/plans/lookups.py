@@ -24,6 +24,20 @@ def asof_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "event_id", "key_id", "offset")
 
 
+def group_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases stand for groups of pictures with an offset each six hours, as many as their value gives."""
+    groups = stream(spark, sf_dir, "purchase").select("user_id", "t", F.transform(F.sequence(F.lit(1), F.floor("value") % 5 + 1), lambda i: i * 10 + F.col("event_id") % 7).alias("offsets"))
+    return asof.offset_at(stream(spark, sf_dir, "view").select("user_id", "t", "event_id"), groups, ["user_id"], "t", "offsets", 6 * HOUR, 24 * HOUR, "offset").select("user_id", "event_id", "offset")
+
+
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base and enhancement layer of a film in decode order: views, and as many clicks, numbered alike."""
+    a, b = stream(spark, sf_dir, "view"), stream(spark, sf_dir, "click")
+    a = a.select("user_id", F.col("t").alias("ta"), F.col("event_id").alias("left_id"), F.lit(1).alias("shown"))
+    b = b.select("user_id", F.col("t").alias("tb"), F.col("event_id").alias("right_id"), F.lit(1).alias("meant"))
+    return pairing.zipped_checked(a, b, ["user_id"], ["ta", "left_id"], ["tb", "right_id"], "shown", "meant").select("user_id", "place", "left_id", "right_id", "shown")
+
+
 def nearest_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     errors, masks = stream(spark, sf_dir, "error"), stream(spark, sf_dir, "signup").withColumnRenamed("event_id", "mask_id")
     out = asof.nearest(errors.select("user_id", "t", "event_id"), masks, ["user_id"], "t", 6 * HOUR, {"mask_id": "mask_id"})
@@ -75,7 +89,7 @@ def first_wins_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.first_wins(parts, ["user_id", "dts"])
 
 
-QUERIES = {f.__name__: f for f in (asof_offset, nearest_mask, interval_last_wins, range_count, pair_left_outer, positional_zip, merge_order, first_wins_merge, first_wins_union)}
+QUERIES = {f.__name__: f for f in (asof_offset, group_offset, layers, nearest_mask, interval_last_wins, range_count, pair_left_outer, positional_zip, merge_order, first_wins_merge, first_wins_union)}
 
 _E = "WITH e AS (SELECT user_id, epoch_us(ts) AS t, epoch_us(ts) // 3600000000 AS dts, event_id, event_type, value FROM events) "
 
@@ -85,6 +99,16 @@ ORACLES = {
         , k AS (SELECT user_id, t, event_id, value FROM e WHERE event_type = 'purchase')
         SELECT v.user_id, v.event_id, k.event_id AS key_id, k.value AS "offset"
         FROM e v ASOF LEFT JOIN k ON v.user_id = k.user_id AND v.t >= k.t WHERE v.event_type = 'view'""",
+    "group_offset": _E
+    + """
+        , k AS (SELECT user_id, t, event_id, value FROM e WHERE event_type = 'purchase')
+        SELECT v.user_id, v.event_id, CASE WHEN k.t IS NOT NULL THEN (least((v.t - k.t) // 21600000000, floor(k.value)::BIGINT % 5) + 1) * 10 + k.event_id % 7 END::BIGINT AS "offset"
+        FROM e v ASOF LEFT JOIN k ON v.user_id = k.user_id AND v.t >= k.t WHERE v.event_type = 'view'""",
+    "layers": _E
+    + """
+        , a AS (SELECT user_id, event_id AS left_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS place FROM e WHERE event_type = 'view'),
+        b AS (SELECT user_id, event_id AS right_id, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS place FROM e WHERE event_type = 'click')
+        SELECT user_id, place, left_id, right_id, 1 AS shown FROM a JOIN b USING (user_id, place)""",
     "nearest_mask": _E
     + """
         SELECT v.user_id, v.event_id, (SELECT arg_min(m.event_id, (abs(m.t - v.t), m.t)) FROM e m WHERE m.event_type = 'signup' AND m.user_id = v.user_id AND abs(m.t - v.t) <= 21600000000) AS mask_id

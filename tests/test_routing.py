@@ -105,3 +105,24 @@ def test_best_by_language_against_a_loop(spark):
                 taken.add(min(pool)[1])
                 want.append((s, place, min(pool)[1]))
     assert got == sorted(want)
+
+
+def test_offsets_of_a_group_run_out(spark):
+    from reeltide.operators import asof
+
+    groups = spark.createDataFrame([(1, 10, [5, 6, 7]), (1, 50, [9]), (1, 70, []), (1, 90, None)], "k int, t long, offsets array<int>")
+    points = spark.createDataFrame([(1, t) for t in (0, 9, 10, 14, 15, 19, 20, 49, 50, 69, 71, 95)] + [(2, 10)], "k int, t long")
+    got = {(r.k, r.t): r.o for r in asof.offset_at(points, groups, ["k"], "t", "offsets", 5, 16, "o").collect()}
+    assert got == {(1, 0): None, (1, 9): None, (1, 10): 5, (1, 14): 5, (1, 15): 6, (1, 19): 6, (1, 20): 7, (1, 49): 7, (1, 50): 9, (1, 69): 9, (1, 71): None, (1, 95): None, (2, 10): None}
+
+
+def test_layers_that_do_not_agree_are_told(spark):
+    import pytest
+
+    from reeltide.operators import pairing
+
+    a = spark.createDataFrame([(1, 0, 4), (1, 1, 5)], "k int, i int, shown int")
+    b = spark.createDataFrame([(1, 0, 4), (1, 1, 6)], "k int, j int, meant int")
+    assert pairing.zipped_checked(a.where("i = 0"), b, ["k"], ["i"], ["j"], "shown", "meant").count() == 1
+    with pytest.raises(Exception, match="place 1: indexes 5 and 6"):
+        pairing.zipped_checked(a, b, ["k"], ["i"], ["j"], "shown", "meant").collect()
