@@ -5,8 +5,8 @@ ORDER least of them, kept in the order of the text. Texts that share a sketch ar
 similarity of their shingles is SIMILARITY or more, or if at least ALIGNED of the longer text's words are aligned with the other's within a band. Classes are the connected
 components of the links.
 
-Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, the least (a star: one pair a
-text, the one that most sketches agree on), never all pairs; then one text of each class with one of a centre. This only saves work, no link depends on it. What is left are texts in buckets that still hold several classes.
+Scale: sketches are computed in one map. In a bucket of equal sketches all texts are first compared with one of them, that which has most texts in its buckets (a star: one pair a
+text, the one that most sketches agree on), never all pairs: copies of a text are nearer to what they were made from than to one another. Then texts of each class are compared with those of a centre. This only saves work, no link depends on it. What is left are texts in buckets that still hold several classes.
 Those of small buckets are compared one by one, by outlines that no linked pair fails. Those of larger ones
 meet by an exact prefix filter: a text's shingles, and its words with their occurrence numbers, are ordered from rare to frequent (by counts of hashed SLOTS over these texts), and two texts can only be linked if they share one of the rarest fifth of their
 shingles or the rarest tenth of their words, at places that leave room for the overlap asked for. Texts of a template share its frequent shingles, not rare ones, so their pairs never become rows. Texts move once to be turned into word numbers, of candidates only afterwards.
@@ -43,8 +43,10 @@ SLOTS = 1 << 18
 LANES, BLOCK = 16, 64
 #: Rarer parts of its text that a part carries, so that a pair that shares many leaves few rows.
 EARLIER = 16
-#: Rounds of stars around changing centres, after the first one.
+#: Rounds of stars around the centres of classes, after the first one.
 ROUNDS = 1
+#: Where the text id begins in a node, counted from 1.
+NODE = 9
 
 _FACTORS = multipliers(SKETCHES, 5)
 
@@ -220,19 +222,19 @@ def _by_rare_parts(texts: DataFrame) -> DataFrame:
 
 
 def _centred(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """(x, y, root, centre): a text of each class in a bucket and one of the bucket's centre, the class that is first by a hash of the round.
+    """(x, y, root, centre): texts of each class in a bucket and of the bucket's centre, the class whose root is first.
 
-    A class has one pair with a centre, however many buckets they share. Centres are before their classes in the hash's order, so that links to one
-    centre a class are a forest.
+    A class has at most three pairs with a centre, however many buckets they share: of the first texts of both, and two that hashes of the round name. Centres are
+    before their classes, so that links to one centre a class are a forest.
     """
     now = shared.select("sketch", "tid").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    some = now.groupBy("sketch", "root").agg(F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("h"), "tid")).alias("m")).select("sketch", "root", "m.tid")
-    first = F.min(F.struct(F.xxhash64("root", F.lit(turn)).alias("h"), "root", "tid")).alias("c")
-    centres = some.groupBy("sketch").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch", "c")
+    some = now.groupBy("sketch", "root").agg(F.min("tid").alias("tid"), F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("h"), "tid")).alias("m")).select("sketch", "root", "tid", F.col("m.tid").alias("other"))
+    centres = some.groupBy("sketch").agg(F.min(F.struct("root", "tid", "other")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch", "c")
     met = some.join(centres, "sketch").where("root <> c.root")
-    ends = F.struct(F.least("tid", "c.tid").alias("x"), F.greatest("tid", "c.tid").alias("y"))
-    one = met.groupBy("root", F.struct("c.h", "c.root").alias("centre")).agg(F.min(ends).alias("ends"))
-    return one.select("ends.x", "ends.y", "root", "centre")
+    ends = [F.struct(F.least(n, f"c.{n}").alias("x"), F.greatest(n, f"c.{n}").alias("y")) for n in ("tid", "other")]
+    drawn = [F.min(F.struct(F.xxhash64("other", "c.other", F.lit(2 * turn + k)).alias("h"), ends[1].alias("e"))).alias(f"e{k}") for k in range(2)]
+    one = met.groupBy("root", F.col("c.root").alias("centre")).agg(F.min(ends[0]).alias("e"), *drawn)
+    return one.select("root", "centre", F.explode(F.array_distinct(F.array("e", "e0.e", "e1.e"))).alias("e")).select("e.x", "e.y", "root", "centre")
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int, least: int = 0) -> int:
@@ -392,6 +394,11 @@ def text_id() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
+def _node(n: Column, tid: Column) -> Column:
+    """A text id behind what makes texts with more company (n texts in their buckets, repeats counted) come first in order."""
+    return F.concat(F.unhex(F.lpad(F.hex(F.lit(2**62) - n), 16, "0")), tid)
+
+
 def named(column: str) -> Column:
     """An id of any type, null too, as a key that is never null."""
     return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
@@ -406,14 +413,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = durable(rows.mapInArrow(_sketched, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid binary, sketches array<bigint>"))
     texts = durable(sketched.groupBy("tid").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("sketches").alias("sketches")))
     buckets = texts.select("tid", F.explode(F.array_distinct("sketches")).alias("sketch"))
-    stars = buckets.groupBy("sketch").agg(F.min("tid").alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = durable(buckets.join(stars.select("sketch", "x"), "sketch"))
+    met = durable(buckets.join(buckets.groupBy("sketch").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sketch"))
+    nodes = durable(met.groupBy("tid").agg(F.sum("n").alias("n")).select("tid", _node(F.col("n"), F.col("tid")).alias("node")))
+    ranked = met.join(nodes, "tid").select("sketch", F.col("node").alias("tid"))
+    shared = durable(ranked.join(ranked.groupBy("sketch").agg(F.min("tid").alias("x")), "sketch"))
     votes = shared.where("x <> tid").groupBy("x", F.col("tid").alias("y")).agg(F.count(F.lit(1)).alias("n"))
-    pairs = durable(votes.groupBy("y").agg(F.max(F.struct("n", "x")).alias("best")).select(F.col("best.x").alias("x"), "y"))
+    pairs = durable(votes.groupBy("y").agg(F.min(F.struct(-F.col("n"), "x")).alias("best")).select(F.col("best.x").alias("x"), "y"))
 
-    needed = shared.select("tid").distinct().join(texts.select("tid", named("id").alias("own")), "tid")
+    needed = nodes.join(texts.select("tid", named("id").alias("own")), "tid")
     own = rows.select(text_id().alias("tid"), named("doc_id").alias("own"), "text")
-    numbers = durable(own.join(needed, ["tid", "own"]).select("tid", "text").mapInArrow(_numbered, "tid binary, words binary, outline binary").dropDuplicates(["tid"]))
+    numbers = durable(own.join(needed, ["tid", "own"]).select(F.col("node").alias("tid"), "text").mapInArrow(_numbered, "tid binary, words binary, outline binary").dropDuplicates(["tid"]))
 
     release(docs.sparkSession)  # the shuffled texts
     tested = _verify(pairs, numbers)
@@ -425,7 +434,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if more.where("ok").isEmpty():
             break
         up = more.where("ok").join(fresh, ["x", "y"]).groupBy("root").agg(F.min("centre").alias("centre"))
-        up = flattened(durable_in_loop(up.select(F.col("root").alias("node"), F.col("centre.root").alias("root"))))
+        up = flattened(durable_in_loop(up.select(F.col("root").alias("node"), F.col("centre").alias("root"))))
         labels, tested = follow(labels, up), tested.unionByName(more)
 
     done = tested.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -436,7 +445,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         ends = more.join(a, "x", "left").join(b, "y", "left").select(F.coalesce("a", "x").alias("a"), F.coalesce("b", "y").alias("b"))
         labels = follow(labels, components(ends.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))))
 
-    rooted = texts.select("tid", "id", "copies").join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+    told = labels.select(F.substring("node", NODE, 16).alias("tid"), F.substring("root", NODE, 16).alias("root"))
+    rooted = texts.select("tid", "id", "copies").join(told, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     whole = rooted.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("id").isNull(), "id", "tid")).alias("keeper"))
     whole = durable(whole.select("root", "class_id", "class_size", F.col("keeper.tid").alias("keeper")))
     by_text = rooted.select("tid", "root").join(whole.select("root", "class_id", "class_size"), "root").select("tid", "class_id", "class_size")
