@@ -5,6 +5,7 @@ One rule, `Lines`, serves the batch (`tracked`, rows of a film read in order) an
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -34,6 +35,52 @@ def overlap(a: tuple, b: tuple) -> float:
     return w * h / (area(a) + area(b) - w * h)
 
 
+class Free:
+    """The lines that a picture's regions may take, by equal boxes and these by cells of a grid for each power of two in width and height, so that a region looks at the boxes near it only.
+
+    Boxes without an area, or that are not finite, overlap none.
+    """
+
+    def __init__(self, boxes: list[tuple], least: float):
+        self.least, self.cells, self.same = least, {}, {}
+        for i, box in enumerate(boxes):
+            held = self.same.get(box)
+            if held is not None:
+                held.append(i)
+                continue
+            self.same[box] = held = [0, i]  # how many are taken, then the lines in order
+            w, h = box[2] - box[0], box[3] - box[1]
+            if 0 < w < math.inf and 0 < h < math.inf:
+                kx, ky = math.frexp(w)[1], math.frexp(h)[1]
+                grid = self.cells.setdefault((kx, ky), {})
+                grid.setdefault((math.floor(math.ldexp(box[0], -kx)), math.floor(math.ldexp(box[1], -ky))), []).append((box, held))
+
+    def take(self, box: tuple) -> int:
+        """The line of the greatest overlap, the first of several, which is taken; -1 if none has `least`, or any at all."""
+        w, h = box[2] - box[0], box[3] - box[1]
+        if not (0 < w < math.inf and 0 < h < math.inf):
+            return -1
+        best, first, chosen, apart = 0.0, -1, None, 1 - self.least + 1e-9
+        for (kx, ky), grid in self.cells.items():
+            wide, high = math.ldexp(1.0, kx), math.ldexp(1.0, ky)  # above the widths and heights of this grid, at most twice as much
+            if min(w, wide) < self.least * max(w, wide / 2) * (1 - 1e-9) or min(h, high) < self.least * max(h, high / 2) * (1 - 1e-9):
+                continue
+            x0, x1 = math.floor((box[0] - apart * wide) / wide), math.floor((box[0] + apart * w) / wide)
+            y0, y1 = math.floor((box[1] - apart * high) / high), math.floor((box[1] + apart * h) / high)
+            if (x1 - x0 + 1) * (y1 - y0 + 1) <= len(grid):
+                near = [grid[c] for x in range(x0, x1 + 1) for y in range(y0, y1 + 1) if (c := (x, y)) in grid]
+            else:
+                near = [held for (x, y), held in grid.items() if x0 <= x <= x1 and y0 <= y <= y1]
+            for cell in near:
+                for other, held in cell:
+                    at = held[0] + 1
+                    if at < len(held) and (share := overlap(other, box)) >= self.least and share > 0 and (share > best or share == best and held[at] < first):
+                        best, first, chosen = share, held[at], held
+        if chosen is not None:
+            chosen[0] += 1
+        return first
+
+
 @dataclass
 class Lines:
     """The lines of one film: each [id, box, probability, sure pictures, lost pictures, lift]."""
@@ -45,16 +92,16 @@ class Lines:
     def picture(self, regions: list[tuple[tuple, float]]) -> list[tuple]:
         """One picture's regions (box, probability) in order: (id, probability, lift, found) of every line that is still followed."""
         r, taken = self.rules, set()
+        free = Free([line[1] for line in self.lines], r.overlap)
         for box, prob in regions:
-            free = [(overlap(line[1], box), -i) for i, line in enumerate(self.lines) if i not in taken]
-            best, place = max(free, default=(0.0, 0))
-            if best < r.overlap or best == 0:
+            place = free.take(box)
+            if place < 0:
                 taken.add(len(self.lines))
                 self.lines.append([self.count, box, prob, 0, 0, 0.0])
                 self.count += 1
             else:
-                line = self.lines[-place]
-                taken.add(-place)
+                line = self.lines[place]
+                taken.add(place)
                 line[1], line[2], line[4] = box, line[2] + r.share * (prob - line[2]), 0
         for i, line in enumerate(self.lines):
             if i not in taken:
