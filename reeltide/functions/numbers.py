@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,11 +14,16 @@ RATES = [(24000, 1001), (24, 1), (25, 1), (30000, 1001), (30, 1), (48, 1), (50,
 RATE_CODES = {1: (24000, 1001), 2: (24, 1), 3: (25, 1), 4: (30000, 1001), 6: (50, 1), 7: (60000, 1001)}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value evaluated once, however often `use` refers to it: written out, expressions of expressions grow as a product."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def rate_from_duration(ns: Column, within: float = 0.002) -> Column:
     """The standard rate nearest to a picture's duration, num/den as a struct; null where none is nearer than the tolerance."""
-    hz = F.lit(1e9) / ns
-    best = F.array_min(F.array(*[F.struct(F.abs(hz - n / d) / (n / d), F.lit(i), F.lit(n).alias("num"), F.lit(d).alias("den")) for i, (n, d) in enumerate(RATES)]))
-    return F.when((ns > 0) & (best["col1"] < within), F.struct(best["num"].alias("num"), best["den"].alias("den")))
+    nearest = lambda hz: F.array_min(F.array(*[F.struct(F.abs(hz - n / d) / (n / d), F.lit(i), F.lit(n).alias("num"), F.lit(d).alias("den")) for i, (n, d) in enumerate(RATES)]))
+    told = lambda best: F.when(best["col1"] < within, F.struct(best["num"].alias("num"), best["den"].alias("den")))
+    return bound(ns, lambda t: F.when(t > 0, bound(bound(F.lit(1e9) / t, nearest), told)))
 
 
 def rate_from_code(code: Column) -> Column:

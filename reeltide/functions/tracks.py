@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from reeltide.functions.numbers import RATES, rate_from_duration
+from reeltide.functions.numbers import RATES, bound, rate_from_duration
 from reeltide.functions.text import CHANNELS, slug
 from reeltide.operators.selection import LANG_ALIASES
 
@@ -71,18 +71,23 @@ def disc_channel(channels: Column, low: Column, channel: Column) -> Column:
 
 def reduced(num: Column, den: Column) -> Column:
     """num/den in lowest terms, as a struct; positive whole numbers below 2**31. Euclid's steps, of which there are at most 46."""
-    pair = F.struct(num.cast("long").alias("a"), den.cast("long").alias("b"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(46)), pair, lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b"))))
-    return F.struct((num / last["a"]).cast("long").alias("num"), (den / last["a"]).cast("long").alias("den"))
+    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.greatest(s["b"], F.lit(1))).alias("b")))
+    last = lambda p: F.aggregate(F.sequence(F.lit(1), F.lit(46)), p, step)["a"]
+    least = lambda p: bound(last(p), lambda d: F.struct((p["a"] / d).cast("long").alias("num"), (p["b"] / d).cast("long").alias("den")))
+    return bound(F.struct(num.cast("long").alias("a"), den.cast("long").alias("b")), least)
 
 
 def normal_rate(num: Column, den: Column) -> Column:
     """A decoder's rate as video states it: in lowest terms; the standard one within a fifth of a per cent, if any; 0/0 where it is not above 0."""
-    least = reduced(num, den)
-    exact = F.exists(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in RATES]), lambda r: (r["n"] == least["num"]) & (r["d"] == least["den"]))
-    near = rate_from_duration(F.floor(F.lit(1_000_000_000) * least["den"] / least["num"]))
     pair = lambda r: F.struct(r["num"].cast("long").alias("num"), r["den"].cast("long").alias("den"))
-    return F.when((num <= 0) | (den <= 0), F.struct(F.lit(0).cast("long").alias("num"), F.lit(0).cast("long").alias("den"))).when(exact | near.isNull(), pair(least)).otherwise(pair(near))
+    rates = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in RATES])
+
+    def stated(least: Column) -> Column:
+        exact = F.exists(rates, lambda r: (r["n"] == least["num"]) & (r["d"] == least["den"]))
+        near = rate_from_duration(F.floor(F.lit(1_000_000_000) * least["den"] / least["num"]))
+        return F.when(exact, pair(least)).otherwise(bound(near, lambda r: F.when(r.isNull(), pair(least)).otherwise(pair(r))))
+
+    return F.when((num <= 0) | (den <= 0), F.struct(F.lit(0).cast("long").alias("num"), F.lit(0).cast("long").alias("den"))).otherwise(bound(reduced(num, den), stated))
 
 
 def respelled(line: Column) -> Column:

@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from reeltide.functions import tracks
 from reeltide.operators import tracking
 
 
@@ -41,3 +44,11 @@ def test_a_picture_of_many_regions_compares_those_that_are_near(monkeypatch):
     regions = [((10.0 * (i % 40), 0.0, 10.0 * (i % 40) + 12, 12.0), 0.5) for i in range(1000)]
     lines.picture(regions)
     assert len(lines.picture(regions)) == 1000 and calls[0] < 20 * len(regions)
+
+
+def analyzed(spark, column):
+    return spark.range(1).select(column.alias("c"))._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_rate_is_reduced_once(spark):
+    assert analyzed(spark, tracks.normal_rate(F.col("id") + 1, F.col("id") + 2)).count("aggregate(") == 1
