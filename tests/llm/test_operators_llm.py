@@ -964,6 +964,46 @@ def test_passages_are_found_behind_partial_holders(spark, parts):
         assert any(a <= at and b >= at + len(" ".join(passage)) for a, b in spans[i])
 
 
+@pytest.mark.parametrize("holders", [0, 20, 60])
+def test_near_copies_are_found_behind_partial_holders(spark, holders):
+    rng, vocab = random.Random(31), vocabulary(31)
+    rows, want = [], []
+    for k in range(40):
+        passage = [rng.choice(vocab) for _ in range(100)]
+        copy = list(passage)
+        for i in rng.sample(range(100), 3 if k % 2 else 10):
+            copy[i] = "zz" + copy[i]
+        excerpts = [passage[i : i + 40] for i in (rng.randrange(61) for _ in range(holders))]
+        for x in rng.sample([passage, *excerpts], holders + 1) + [copy]:
+            rows.append((len(rows), f"{prose(rng, vocab, 60)} {' '.join(x)} {prose(rng, vocab, 60)}", "en", "a", 0))
+        a, b = (words(codepoints(" ".join(x)))[0] for x in (passage, copy))
+        if substrings.passages(a, b, 0, 0):
+            want.append(len(rows) - 1)
+    got = {r.doc_id for r in substrings.repeats(spark.createDataFrame(rows, DOCS).repartition(8)).collect()}
+    assert len(want) >= 30 and got <= set(want) and len(got) >= 0.95 * len(want)
+
+
+def test_seeds_are_those_of_each_text_alone():
+    rng, vocab = random.Random(32), vocabulary(32)
+    texts = ["", prose(rng, vocab, 300), "a b c", "word " * 90, prose(rng, vocab, 50), "so it is " * 40, "!!"]
+    together, size = substrings._seeds_of(texts, list(range(len(texts))))
+    alone = [substrings._seeds_of([t], [i]) for i, t in enumerate(texts)]
+    assert size.tolist() == [int(n[0]) for _, n in alone] == [len(re.findall("[a-z]+", t)) for t in texts]
+    assert together.to_pylist() == [r for rows, _ in alone for r in rows.to_pylist()]
+    for i in (1, 3, 4, 5):  # no LENGTH shingles in a row are without a seed
+        places = np.array([-1, *(r["place"] for r in together.to_pylist() if r["doc"] == i), size[i] - substrings.SHINGLE + 1])
+        assert np.diff(places).max() <= substrings.LENGTH
+
+
+def test_seeds_of_a_large_group_are_linked_in_blocks(monkeypatch):
+    monkeypatch.setattr(substrings, "BLOCK", 16)
+    rng = np.random.default_rng(6)
+    lo, hi = (rng.integers(0, 1 << 63, 300).astype(np.uint64) & rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(2))
+    rows = np.arange(900), np.zeros(900, np.int32), np.tile(lo, 3), np.tile(hi, 3)
+    target, source, _ = substrings._hot(rows)
+    assert (source < target).all() and {i for i, j in zip(target.tolist(), source.tolist()) if (i - j) % 300 == 0} == set(range(300, 900))
+
+
 def test_stretches_are_shared_out_among_windows():
     rng = np.random.default_rng(5)
     for n in (46, 47, 200, 3000):
